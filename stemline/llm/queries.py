@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import bpe, exact_dedup
+from stemline.llm import bpe, exact_dedup, langid, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+    "op6_simhash": simhash.op6_simhash,
+    "op8_language_id": langid.op8_language_id,
 }
 
 SQL: dict[str, str] = {

@@ -22,11 +22,16 @@ CACHE_WORDS, CACHE_CHARS = 400_000, 48
 #: What a text without a letter is.
 UNDETERMINED = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def has_letter(text: str) -> bool:
-    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+    """A numeral such as a superscript is no letter, though a word character."""
+    return any(any(map(str.isalpha, m[0])) for m in _WORD.finditer(text))
+
+
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 class SuffixAutomaton:
@@ -79,7 +84,7 @@ class SuffixAutomaton:
 
 
 class CrossParser:
-    """Phrase costs of texts under each language; a phrase never crosses a blank, so costs are sums over words.
+    """Phrase costs of texts under each language; a phrase never leaves a run of letters, so costs are sums over words.
 
     model: (language, labelled words) pairs. A phrase costs the logarithm of the
     length of the text that it points into, so languages with more words have no advantage.
@@ -98,7 +103,7 @@ class CrossParser:
 
     def costs(self, text: str) -> np.ndarray:
         """Bits that the whole text takes under each language."""
-        words, row, total = text.lower().split(), self._row, np.zeros(len(self.languages))
+        words, row, total = words_of(text), self._row, np.zeros(len(self.languages))
         found = list(map(row.get, words))
         if None in found:
             for k, at in enumerate(found):
@@ -151,7 +156,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         words: dict[str, None] = {}
         room = WORD_CHARS
         for x in [x for x in picked if x["g"] == r["g"]][:SAMPLE_DOCS]:
-            for w in x["t"].lower().split():
+            for w in words_of(x["t"]):
                 if w not in words and room > 0 and len(w) <= CACHE_CHARS:
                     words[w] = None
                     room -= len(w) + 1

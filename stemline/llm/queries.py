@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import bpe, exact_dedup, langid, simhash
+from stemline.llm import bpe, exact_dedup, langid, mixing, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op6_simhash": simhash.op6_simhash,
     "op8_language_id": langid.op8_language_id,
+    "op10_mixing": mixing.op10_mixing,
 }
 
 SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.SQL,
+    "op10_mixing": mixing.SQL,
 }

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import bpe, exact_dedup, html_extract, langid, mixing, simhash, substring_dedup, token_files
+from stemline.llm import bpe, context_mixing, exact_dedup, html_extract, langid, mixing, simhash, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op3_lm_score": context_mixing.op3_lm_score,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_files": token_files.op5_token_files,
     "op6_simhash": simhash.op6_simhash,

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stemline.llm import bpe, context_mixing, exact_dedup, html_extract, langid, mixing, simhash, substring_dedup, token_files
+from stemline.llm import bpe, context_mixing, embedding_dedup, exact_dedup, html_extract, langid, mixing, simhash, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_embedding_dedup": embedding_dedup.op2_embedding_dedup,
     "op3_lm_score": context_mixing.op3_lm_score,
     "op4_exact_dedup": exact_dedup.op4_exact_dedup,
     "op5_token_files": token_files.op5_token_files,
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_embedding_dedup": embedding_dedup.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op10_mixing": mixing.SQL,
 }

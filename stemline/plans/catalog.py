@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemline.functions import vectors as V
-from stemline.operators import augment, geo, graph, labels, losses, masks, metrics, rounds
+from stemline.operators import augment, boxes, geo, graph, labels, losses, masks, metrics, rounds, training
 from stemline.plans import views
 from stemline.sources import text
 
@@ -406,3 +406,32 @@ def _iterated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["round_iteration"] = _iterated
 SQL["round_iteration"] = views.WITH + " select scan_id, count(*) filter (z_cm % 2 = 0 or point_id % 3 = 0) as assigned, count(*) filter (not (z_cm % 2 = 0 or point_id % 3 = 0)) as \"left\" from points where semantic_pred <> 0 group by scan_id"
+
+
+# ---- boxes, batches, training
+
+_BX = """, bx as (select scan_id, instance_gt as box_id, (min(x_cm) + max(x_cm)) / 2 as cx, (min(y_cm) + max(y_cm)) / 2 as cy, (min(z_cm) + max(z_cm)) / 2 as cz,
+  max(x_cm) - min(x_cm) as dx, max(y_cm) - min(y_cm) as dy, max(z_cm) - min(z_cm) as dz, pi() / 6 as a from points where instance_gt > 0 and instance_gt % 10 = 1 group by all),
+inb as (select box_id, p.scan_id, point_id, abs((x_cm - cx) * cos(a) + (y_cm - cy) * sin(a)) - dx / 2 as u, abs((y_cm - cy) * cos(a) - (x_cm - cx) * sin(a)) - dy / 2 as v, abs(z_cm - cz) - dz / 2 as w
+  from points p join bx on p.scan_id = bx.scan_id)"""
+on_points("box_range_filter", lambda p: boxes.in_range(_boxes(p).withColumn("yaw", F.lit(4.0))).select("scan_id", "box_id", "yaw"), _BX + " select scan_id, box_id, round(4.0::double - 2 * pi(), 6) as yaw from bx where cx > 1000 and cx < 5000 and cy > 1000 and cy < 5000")
+on_points("box_class_filter", lambda p: boxes.of_classes(_boxes(p).withColumn("class", (F.col("box_id") % 3).cast("int")), (0, 2)).select("scan_id", "box_id", "class"), _BX + " select scan_id, box_id, cast(box_id % 3 as int) as class from bx where box_id % 3 in (0, 2)")
+on_points("box_margin_removed", lambda p: boxes.without_margin(p, _boxes(p)).select("scan_id", "point_id"), _BX + " select scan_id, point_id from points p where not exists (select 1 from inb i where i.scan_id = p.scan_id and i.point_id = p.point_id and u <= 50 and v <= 50 and w <= 50) or exists (select 1 from inb i where i.scan_id = p.scan_id and i.point_id = p.point_id and u <= 0 and v <= 0 and w <= 0)")
+on_points("box_objects_put_in", lambda p: boxes.with_objects(p, _boxes(p), p.where("scan_id = 1 and instance_gt % 10 = 2")), _BX + " select scan_id, point_id, instance_gt from points p where not exists (select 1 from inb i where i.scan_id = p.scan_id and i.point_id = p.point_id and u <= 0 and v <= 0 and w <= 0) union all select scan_id, point_id, instance_gt from points where scan_id = 1 and instance_gt % 10 = 2")
+_on(("customer",), "dataset_route", lambda c: boxes.route(c.select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "scannet_").when(F.col("c_custkey") % 3 == 1, "forest_").otherwise("x_"), F.col("c_custkey").cast("string")).alias("name")), "name", {"scannet": "indoor", "forest": "outdoor"}).groupBy("head").agg(F.count(F.lit(1)).alias("n")),
+    "select case c_custkey % 3 when 0 then 'indoor' when 1 then 'outdoor' else 'unknown dataset' end as head, count(*) as n from customer group by 1", True)
+on_points("region_merge", lambda p: boxes.region_merge(geo.tile_membership(p, 800, 1600).join(p.where("instance_pred >= 0").select("scan_id", "point_id", F.col("instance_pred").alias("local")), ["scan_id", "point_id"]).select("scan_id", "region_id", "point_id", "local")))
+on_points("batch_offsets", training.batch_offsets, _V(20) + ", n as (select scan_id, count(distinct (vx, vy, vz)) as n from vx group by scan_id) select scan_id, n, cast(coalesce(sum(n) over (order by scan_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from n")
+on_points("superpoint_pool", training.pooled, _V(100) + " select scan_id, vx, vy, vz, round(sum(score_pct) / count(*), 6) as f0, round(sum(x_cm - 3200) / count(*), 6) as f1, round(sum(y_cm - 3200) / count(*), 6) as f2 from vx group by scan_id, vx, vy, vz")
+on_points("voxel_sample_padded", training.padded_voxel_sample, _V(300) + """, ce as (select *, cast(row_number() over (partition by scan_id order by vx, vy, vz) - 1 as int) as slot from (select distinct scan_id, vx, vy, vz from vx)),
+ke as (select * from ce where slot < 40), pa as (select scan_id, vx, vy, vz, cast(unnest(range((select count(*) from ke k where k.scan_id = ke.scan_id), 40)) as int) as slot from ke where slot = 0),
+ra as (select * from (select *, row_number() over (partition by scan_id, vx, vy, vz order by point_id) as k from vx) where k <= 5)
+select s.scan_id, s.slot, point_id from (select * from ke union all select * from pa) s join ra on s.scan_id = ra.scan_id and s.vx = ra.vx and s.vy = ra.vy and s.vz = ra.vz""")
+on_points("patch_acceptance", training.patches, " select scan_id, cast(floor(x_cm / 800) as bigint) as px, cast(floor(y_cm / 800) as bigint) as py, count(distinct (floor(x_cm / 50), floor(y_cm / 50), floor(z_cm / 50))) as occupied, round(count(*) filter (instance_gt > 0) / count(*), 6) as labelled from points group by 1, 2, 3 having occupied >= 20 and labelled >= 0.7")
+on_masks("instance_ordinals", lambda mp, m, p: training.instance_ordinals(m), " select scan_id, mask_id, cast(mask_id % 4 as int) as label, cast(row_number() over (partition by scan_id, mask_id % 4 order by mask_id) - 1 as int) as ordinal from masks where score_pct >= 20")
+on_masks("mask_loss", lambda mp, m, p: training.mask_loss(mp, metrics.mask_matches(mp, p.where("instance_gt > 0")), p), _MATCH + """, be as (select scan_id, mask_id, instance_gt as best from (select *, row_number() over (partition by scan_id, mask_id order by iou desc, instance_gt) as k from ma) where k = 1 and iou > 0.5),
+pr as (select p.scan_id, p.instance_gt = best as hit, ((10 + (mp.point_id * 31 + mp.mask_id * 17) % 90) / 100)::double * 0.99::double as q from mask_points mp join be on mp.scan_id = be.scan_id and mp.mask_id = be.mask_id join points p on p.scan_id = mp.scan_id and p.point_id = mp.point_id)
+select scan_id, round(avg(case when hit then -ln(q) else -ln(1 - q) end), 5) as loss, count(*) as n from pr group by scan_id""")
+on_points("semantic_decode", training.semantic_decode, ", v as (select scan_id, point_id, (point_id * 13 + z_cm) % 97 as a, (point_id * 29 + z_cm) % 97 as b, (point_id * 47 + z_cm) % 97 as c from points) select scan_id, point_id, cast(case when a >= b and a >= c then 0 when b >= c then 1 else 2 end as int) as semantic from v")
+_on(("events",), "loss_sum", lambda e: training.loss_sum(e.select((F.col("event_id") % 10).alias("step"), F.concat(F.when(F.col("event_id") % 3 == 0, "loss_").otherwise("acc_"), F.col("event_type")).alias("key"), "value")),
+    "with o as (select event_id % 10 as step, case when event_id % 3 = 0 then 'loss_' else 'acc_' end || event_type as key, avg(value) as v from events group by all) select step, round(sum(v) filter (key like '%loss%'), 6) as total, count(*) as keys from o group by step", True)

@@ -84,3 +84,29 @@ def test_streams(spark, tmp_path):
     q = ingest.class_counts(stream).writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(tuple(r) for r in spark.table("counts").collect()) == [(0, 1, 2), (1, 2, 1)]
+
+
+def test_las(spark, tmp_path):
+    from stemline.sources import las
+
+    rows = [("s", 400000.1234, 50.5, -3.25, 400000.9, 50.2, -7.0, 2, 11, 0.5, 1, 9), ("s", 400001.0, 51.0, 2.0, 400000.9, 50.2, -7.0, 0, -1, 0.0, 0, 0), ("t", 1.0, 2.0, 3.0, 0.0, 0.0, 0.0, 1, 1, 1.0, 1, 1)]
+    df = spark.createDataFrame(rows, "scan_id string, x double, y double, z double, ox double, oy double, oz double, semantic_pred int, instance_pred int, score float, semantic_gt int, instance_gt int")
+    las.write_scans(df, str(tmp_path / "las"))
+    assert sorted(os.listdir(tmp_path / "las")) == ["s.las", "t.las"]
+    back = las.read_las(str(tmp_path / "las" / "s.las"))
+    assert sorted(back["x"].round(3)) == [400000.123, 400001.0] and sorted(back["instance_pred"]) == [-1, 11] and sorted(back["score"]) == [0.0, 0.5]
+    (tmp_path / "x.las").write_bytes(b"nope" * 100)
+    with pytest.raises(ValueError, match="not a LAS"):
+        las.read_las(str(tmp_path / "x.las"))
+
+
+def test_arrays(spark, tmp_path):
+    from stemline.sources import arrays
+
+    np.save(tmp_path / "a.npy", np.arange(6.0).reshape(2, 3))
+    got = arrays.read_npy(spark, str(tmp_path / "a.npy"), ["x", "y", "z"]).orderBy("point_id").collect()
+    assert [tuple(r) for r in got] == [("a", 0, 0.0, 1.0, 2.0), ("a", 1, 3.0, 4.0, 5.0)]
+    np.arange(8, dtype="<f4").tofile(tmp_path / "p.bin")
+    assert [tuple(r)[2:] for r in arrays.read_bin(spark, str(tmp_path / "p.bin"), ["x", "z"], use=[0, 2], load=4).orderBy("point_id").collect()] == [(0.0, 2.0), (4.0, 6.0)]
+    np.array([5, -1], "<i8").tofile(tmp_path / "m.bin")
+    assert [r.label for r in arrays.read_bin(spark, str(tmp_path / "m.bin"), ["label"], "<i8").orderBy("point_id").collect()] == [5, -1]

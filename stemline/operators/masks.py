@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stemline.operators.lineage import hold
+
 KEY = ["scan_id", "mask_id"]
 
 
@@ -120,8 +122,6 @@ def components(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b", n
     both = pairs.select("scan_id", F.col(a).alias("u"), F.col(b).alias("v"))
     edge = both.unionByName(both.select("scan_id", F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     label = nodes.select("scan_id", F.col(node).alias("u")).withColumn("root", F.col("u"))
-    ready = nodes.sparkSession.sparkContext.getCheckpointDir() is not None
-    hold = (lambda d: d.checkpoint()) if ready else (lambda d: d.persist())
     edge, label = hold(edge), hold(label)
     while True:
         near = edge.join(label.select("scan_id", F.col("u").alias("v"), F.col("root").alias("r")), ["scan_id", "v"]).groupBy("scan_id", "u").agg(F.min("r").alias("r"))

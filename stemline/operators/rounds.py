@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemline.operators.lineage import hold
+
 
 def score_with(points: DataFrame, model: Callable, by: list[str], schema: str) -> DataFrame:
     """What model(pdf) -> pdf returns for each group of points: a tile, a scan. Any network hides behind such a function."""
@@ -19,8 +21,6 @@ def iterate(points: DataFrame, assign: Callable[[DataFrame, int], DataFrame], ro
     Ids of a round start after the largest of the rounds before. It ends early when nothing is left or nothing new is found. Each round is written
     to the checkpoint folder, so that a lost executor repeats one round at most.
     """
-    sc = points.sparkSession.sparkContext
-    hold = (lambda d: d.checkpoint()) if sc.getCheckpointDir() is not None else (lambda d: d.persist())
     left, done, base = points, None, 0
     for k in range(rounds):
         got = hold(assign(left, k).select("scan_id", "point_id", F.when(F.col("instance") >= 0, F.col("instance") + base).otherwise(-1).cast("bigint").alias("instance")))

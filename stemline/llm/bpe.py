@@ -39,7 +39,7 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class _Kept(dict):
+class Kept(dict):
     """Ids by word, made by make(word) when first asked for; words not asked for since the last but one filling go."""
 
     def __init__(self, make):
@@ -97,8 +97,8 @@ class PrefixBpe:
                 continue  # no merges lead to it
             self._auto.add_word(self.bytes_of[k].decode("latin-1"), (k, len(self.bytes_of[k])))
         self._auto.make_automaton()
-        self.spaced = _Kept(lambda chunk: self._word(" ", chunk))
-        self.bare = _Kept(lambda chunk: self._word("", chunk))
+        self.spaced = Kept(lambda chunk: self._word(" ", chunk))
+        self.bare = Kept(lambda chunk: self._word("", chunk))
         self._feed = np.array(self.encode_bytes(b"\n"), "<u4").tobytes()
 
     def fits(self, left: int, right: int) -> bool:

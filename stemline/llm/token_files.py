@@ -19,10 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stemline.llm.bpe import Kept, byte_alphabet
 from stemline.llm.common import shared_folder, table
 
-#: Words whose ids a worker keeps, and the longest that it keeps.
-CACHE_WORDS, CACHE_CHARS = 500_000, 48
 #: Id that ends a document.
 END_ID = 2
 
@@ -30,8 +29,16 @@ END_ID = 2
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 
 
+#: Latin letters, then at most one run of marks: two pieces at most, that normalising only turns to lower case.
+_WORD = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+
+
 class WordEncoder:
-    """Ids of texts by a vocabulary that drops white space and never joins across it: word by word, each word once."""
+    """Ids of texts by a vocabulary that drops white space and never joins across it: word by word, each word once.
+
+    What stands between blanks is looked up as it is, then by its letters in lower case. New
+    words of letters go to the library's model at once, everything else through the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -40,24 +47,28 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.dtype = "<u2" if max(self.library.get_vocab().values()) < 1 << 16 else "<u4"
-        self._known: dict[str, bytes] = {}
+        self._letter = {b: c for c, b in byte_alphabet().items()}
+        self._model = self.library.model
+        self._pieces = Kept(self._piece)
+        self._chunks = Kept(self._chunk)
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
+    def _piece(self, piece: str) -> bytes:
+        marked = piece if piece.isascii() else "".join([self._letter[b] for b in piece.encode()])
+        return np.array([t.id for t in self._model.tokenize(marked)], self.dtype).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        m = _WORD.fullmatch(chunk.lower())
+        if m is None:
+            return self._ids(chunk)
+        return self._pieces[m[1]] + self._pieces[m[2]] if m[2] else self._pieces[m[1]]
+
     def encode(self, text: str) -> bytes:
         if _SEPARATORS.search(text):
             return self._ids(text)
-        words, known = text.split(), self._known
-        found = list(map(known.get, words))
-        if None in found:
-            new = list(dict.fromkeys(w for w, x in zip(words, found) if x is None))
-            made = dict(zip(new, (np.array(e.ids, self.dtype).tobytes() for e in self.library.encode_batch(new, add_special_tokens=False))))
-            found = [made[w] if x is None else x for w, x in zip(words, found)]
-            if len(known) + len(made) > CACHE_WORDS:
-                known.clear()
-            known.update((w, x) for w, x in made.items() if len(w) <= CACHE_CHARS)
-        return b"".join(found)
+        return b"".join(map(self._chunks.__getitem__, text.split()))
 
 
 _LOADED: dict[str, WordEncoder] = {}

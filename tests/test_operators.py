@@ -102,3 +102,13 @@ def test_pipelines_by_name(spark):
     assert boxes.chain(df, [("over", {"least": 4}), ("over", {"least": 7})], known).count() == 2
     with pytest.raises(KeyError, match="other is not registered"):
         boxes.chain(df, [("other", {})], known)
+
+
+def test_vertex_normals(spark):
+    from stemline.operators import graph
+
+    v = spark.createDataFrame([(0, 0, 0.0, 0.0, 0.0), (0, 1, 1.0, 0.0, 0.0), (0, 2, 0.0, 1.0, 0.0), (0, 3, 0.0, 0.0, 1.0)], "scan_id int, vertex_id int, x double, y double, z double")
+    f = spark.createDataFrame([(0, 0, 0, 1, 2), (0, 1, 0, 1, 3), (0, 2, 0, 0, 1)], "scan_id int, face_id int, v1 int, v2 int, v3 int")
+    got = {r.vertex_id: (r.nx, r.ny, r.nz) for r in graph.vertex_normals(v, f).collect()}
+    assert got[2] == (0, 0, 1) and got[3] == (0, -1, 0)
+    assert [r.nz for r in graph.face_normals(v, f).orderBy("face_id").collect()] == [1, 0, 0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,26 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that nothing refers to any more; it does so when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def placed(df: DataFrame, parts: int, key: str) -> DataFrame:
+    """df written by checkpoint, dealt out and sorted by key, so that joins with it leave it where it is.
+
+    What an adaptive plan's partitioning will be isn't known when it is written, so this one isn't adaptive.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(name)
+    conf.set(name, "false")
+    try:
+        return checkpoint(df.repartition(parts, key).sortWithinPartitions(key))
+    finally:
+        conf.set(name, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors share."""
     sc = spark.sparkContext

@@ -2,10 +2,10 @@
 
 To find 50-byte strings that also start in an earlier document, suffixes have to be
 told apart to a depth of 50 only. The cover sample holds the suffixes at positions p of a
-document with p mod 31 in a difference cover, so that any two equal 50-byte strings, wherever they
-start, hold a pair of sample suffixes at the same distance from their starts, not more than 30. Sorted
-bucket by bucket (a bucket: suffixes whose first 20 bytes hash alike), the sample shows which
-suffixes tie; ties are resolved by ranks of the 80 bytes around a sample suffix, which cover all
+document with p mod 21 in a difference cover, so that any two equal 50-byte strings, wherever they
+start, hold a pair of sample suffixes at the same distance from their starts, not more than 20. Sorted
+bucket by bucket (a bucket: suffixes whose first 30 bytes hash alike), the sample shows which
+suffixes tie; ties are resolved by ranks of the 70 bytes around a sample suffix, which cover all
 its 50-byte strings, and only where those differ by the single strings. No task holds more than one bucket or one chunk of text.
 """
 
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.llm.common import BROADCAST_IDS, checkpoint, table
+from stemline.llm.common import BROADCAST_IDS, checkpoint, placed, release, table
 
 #: Length of a repeated string.
 LENGTH = 50
-#: A perfect difference cover: each distance modulo 31 is that of one pair.
-PERIOD, COVER = 31, (1, 5, 11, 24, 25, 27)
+#: A perfect difference cover: each distance modulo 21 is that of one pair. A longer period has fewer samples, but shorter
+#: strings stand for them, and more of those tie by chance: of check_s, 31 would keep 19 % and leave 7.7 % of all strings to
+#: be compared singly, 21 keeps 24 % and leaves 4.8 %.
+PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Bytes after a sample position that any string it stands for is sure to hold, and bytes before it that one may start.
 GRAM, BACK = LENGTH - PERIOD + 1, PERIOD - 1
 #: Bytes of text in a chunk, and bytes of sample hashes in a bucket, about.
@@ -138,14 +140,18 @@ def _unpack(r: dict) -> Chunk:
 
 # ---- exchange of one answer for each key, bucket by bucket
 
-def _squeeze(sorted_keys: np.ndarray) -> bytes:
-    """Sorted 32-bit keys as byte planes of their differences: the high planes are all but empty and compress."""
-    step = np.diff(sorted_keys.astype("<u4"), prepend=np.uint32(0)).astype("<u4")
-    return step.view(np.uint8).reshape(-1, 4).T.tobytes()
+def _squeeze(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Whole numbers as byte planes, ascending ones as differences: the high planes are all but empty and compress."""
+    if ascending:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    width = values.dtype.itemsize
+    return values.view(np.uint8).reshape(-1, width).T.tobytes()
 
 
-def _widen(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel(), dtype=np.uint32)
+def _widen(data: bytes, kind: str, ascending: bool = False) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    values = np.frombuffer(data, np.uint8).reshape(width, -1).T.copy().view(kind).ravel()
+    return np.cumsum(values, dtype=kind) if ascending else values
 
 
 def _ask(chunk: int, keys: np.ndarray, bits: int, dump: Callable[[slice], bytes]) -> list[dict]:
@@ -178,7 +184,7 @@ def _answers(asked: DataFrame, bits: int, solve: Callable[[list[bytes]], list[by
 
 def _shared_grams(rows: list[bytes]) -> list[bytes]:
     """A bit for each key: do two chunks hold it?"""
-    keys = [_widen(d) for d in rows]
+    keys = [_widen(d, "<u4", True) for d in rows]
     both = np.sort(np.concatenate(keys))
     both = both[1:][both[1:] == both[:-1]]
     if not len(both):
@@ -191,9 +197,10 @@ FULL, EDGE = 1, 2
 
 
 def _rank_contexts(rows: list[bytes]) -> list[bytes]:
-    three = [np.frombuffer(d, "<u8").reshape(3, -1) for d in rows]
-    gram, context = (np.concatenate([x[k] for x in three]) for k in (0, 1))
-    ids = np.concatenate([x[2] for x in three]).view(np.int64)
+    n = [len(d) // 20 for d in rows]
+    gram = np.concatenate([_widen(d[: 4 * k], "<u4", True) for d, k in zip(rows, n)])
+    context = np.concatenate([_widen(d[4 * k : 12 * k], "<u8") for d, k in zip(rows, n)])
+    ids = np.concatenate([_widen(d[12 * k :], "<i8") for d, k in zip(rows, n)])
     order = np.lexsort((ids, context, gram))
     g, c, d = gram[order], context[order], ids[order]
     head = np.r_[True, (c[1:] != c[:-1]) | (g[1:] != g[:-1])]
@@ -206,15 +213,16 @@ def _rank_contexts(rows: list[bytes]) -> list[bytes]:
     code[(code == 0) & two] = EDGE
     out = np.empty_like(code)
     out[order] = code
-    return [x.tobytes() for x in np.split(out, np.cumsum([x.shape[1] for x in three])[:-1])]
+    return [x.tobytes() for x in np.split(out, np.cumsum(n)[:-1])]
 
 
 def _earlier_strings(rows: list[bytes]) -> list[bytes]:
-    two = [np.frombuffer(d, "<u8").reshape(2, -1) for d in rows]
-    keys, ids = np.concatenate([x[0] for x in two]), np.concatenate([x[1] for x in two]).view(np.int64)
+    n = [len(d) // 16 for d in rows]
+    keys = np.concatenate([_widen(d[: 8 * k], "<u8", True) for d, k in zip(rows, n)])
+    ids = np.concatenate([_widen(d[8 * k :], "<i8") for d, k in zip(rows, n)])
     _, place, least, _ = _first_of(keys, ids)
     out = (ids > least[place]).astype(np.uint8)
-    return [x.tobytes() for x in np.split(out, np.cumsum([x.shape[1] for x in two])[:-1])]
+    return [x.tobytes() for x in np.split(out, np.cumsum(n)[:-1])]
 
 
 # ---- what a chunk asks, and what it makes of the answers
@@ -233,7 +241,7 @@ class Work:
 
     def ask_grams(self) -> list[dict]:
         top = self.keys << np.uint64(64 - self.bits - 32)
-        return _ask(self.row["chunk"], top, self.bits, lambda s: _squeeze(self.keys[s] & np.uint64(0xFFFFFFFF)))
+        return _ask(self.row["chunk"], top, self.bits, lambda s: _squeeze((self.keys[s] & np.uint64(0xFFFFFFFF)).astype("<u4"), True))
 
     def _contexts(self) -> None:
         t = self.text
@@ -250,8 +258,9 @@ class Work:
 
     def ask_contexts(self) -> list[dict]:
         self._contexts()
-        rows = np.stack([*self.pair, self.least.view(np.uint64)]).astype("<u8")
-        return _ask(self.row["chunk"], self.pair[0], self.bits, lambda s: np.ascontiguousarray(rows[:, s]).tobytes())
+        gram, context = self.pair
+        short = (gram >> np.uint64(32 - self.bits)).astype("<u4")  # 32 bits after the bucket's: what ties by chance is told apart later
+        return _ask(self.row["chunk"], gram, self.bits, lambda s: _squeeze(short[s], True) + _squeeze(context[s]) + _squeeze(self.least[s]))
 
     def _strings(self) -> None:
         self._contexts()
@@ -272,8 +281,7 @@ class Work:
 
     def ask_strings(self) -> list[dict]:
         self._strings()
-        rows = np.stack([self.strings, self.string_least.view(np.uint64)]).astype("<u8")
-        return _ask(self.row["chunk"], self.strings, self.bits, lambda s: np.ascontiguousarray(rows[:, s]).tobytes())
+        return _ask(self.row["chunk"], self.strings, self.bits, lambda s: _squeeze(self.strings[s], True) + _squeeze(self.string_least[s]))
 
     def spans(self) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
         """(doc_id, text, removed spans) of each document."""
@@ -309,12 +317,13 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = pack(docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.spark_partition_id().cast("bigint").alias("part")))
-    chunks = checkpoint(packed.repartition(parts, "chunk").sortWithinPartitions("chunk"))
+    chunks = placed(packed, parts, "chunk")
     total = chunks.agg(F.sum(F.octet_length("sizes") / 8), F.sum(F.octet_length("data"))).first()
     share = len(COVER) / PERIOD * 4 * 3  # bytes of hashes for a compressed byte of text, three bytes of text in it
     bits = max(6, int(np.ceil(np.log2(max(1.0, (total[1] or 0) * share / BUCKET_BYTES)))))
     for step, name, solve in (("ask_grams", "grams", _shared_grams), ("ask_contexts", "contexts", _rank_contexts), ("ask_strings", "strings", _earlier_strings)):
         chunks = _answered(chunks, name, _answers(_each(chunks, bits, step), bits, solve))
+        release(spark)
     return chunks, bits
 
 

@@ -201,11 +201,11 @@ on_points("thinned_far_near", lambda p: p.where("z_cm >= 1200").select("scan_id"
 
 
 def _boxes(p: DataFrame) -> DataFrame:
-    return geo.bounding_boxes(p).where("instance_gt % 10 = 1").select(F.col("instance_gt").alias("box_id"), "scan_id", "cx", "cy", "cz", "dx", "dy", "dz", F.lit(math.pi / 6).alias("yaw"))
+    return geo.bounding_boxes(p).select(F.col("instance_gt").alias("box_id"), "scan_id", "cx", "cy", "cz", "dx", "dy", "dz", F.lit(math.pi / 6).alias("yaw"))
 
 
 on_points("points_in_rotated_box", lambda p: geo.points_in_rotated_box(p, _boxes(p)), """, bx as (select scan_id, instance_gt as box_id, (min(x_cm) + max(x_cm)) / 2 as cx, (min(y_cm) + max(y_cm)) / 2 as cy, (min(z_cm) + max(z_cm)) / 2 as cz,
-  max(x_cm) - min(x_cm) as dx, max(y_cm) - min(y_cm) as dy, max(z_cm) - min(z_cm) as dz, pi() / 6 as a from points where instance_gt > 0 and instance_gt % 10 = 1 group by all)
+  max(x_cm) - min(x_cm) as dx, max(y_cm) - min(y_cm) as dy, max(z_cm) - min(z_cm) as dz, pi() / 6 as a from points where instance_gt > 0 group by all)
 select box_id, p.scan_id, point_id from points p join bx on p.scan_id = bx.scan_id where abs((x_cm - cx) * cos(a) + (y_cm - cy) * sin(a)) <= dx / 2
   and abs((y_cm - cy) * cos(a) - (x_cm - cx) * sin(a)) <= dy / 2 and abs(z_cm - cz) <= dz / 2""")
 
@@ -357,7 +357,7 @@ SQL["json_vertices"] = views.WITH + ", v as (select cast(row_number() over (orde
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_id < 5000")
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
     line = F.when(F.col("event_id") % 50 == 0, F.to_json(F.struct(F.lit("x").alias("env")))).when(F.col("event_id") % 7 == 0, F.to_json(F.struct((F.col("event_id") % 10).alias("epoch"), F.col("value").alias("val/score"))))
     lines = e.select(F.coalesce(line, F.to_json(F.struct((F.col("event_id") % 10).alias("epoch"), F.col("event_id").alias("iter"), F.col("value").alias("time")))).alias("value"))
     log = text.training_log(lines).where("key = 'time' and not validation")
@@ -366,7 +366,7 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["log_epoch_stats"] = _log
-SQL["log_epoch_stats"] = "with p as (select cast(event_id % 10 as int) as epoch, avg(value) as mean from events where event_id < 5000 and event_id % 50 <> 0 and event_id % 7 <> 0 group by 1) select epoch, round(mean, 6) as mean, round(stddev_pop(mean) over (), 6) as spread, (select arg_max(epoch, mean) from p) as slowest from p"
+SQL["log_epoch_stats"] = "with p as (select cast(event_id % 10 as int) as epoch, avg(value) as mean from events where event_id % 50 <> 0 and event_id % 7 <> 0 group by 1) select epoch, round(mean, 6) as mean, round(stddev_pop(mean) over (), 6) as spread, (select arg_max(epoch, mean) from p) as slowest from p"
 
 
 def _infos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -411,13 +411,13 @@ SQL["round_iteration"] = views.WITH + " select scan_id, count(*) filter (z_cm %
 # ---- boxes, batches, training
 
 _BX = """, bx as (select scan_id, instance_gt as box_id, (min(x_cm) + max(x_cm)) / 2 as cx, (min(y_cm) + max(y_cm)) / 2 as cy, (min(z_cm) + max(z_cm)) / 2 as cz,
-  max(x_cm) - min(x_cm) as dx, max(y_cm) - min(y_cm) as dy, max(z_cm) - min(z_cm) as dz, pi() / 6 as a from points where instance_gt > 0 and instance_gt % 10 = 1 group by all),
+  max(x_cm) - min(x_cm) as dx, max(y_cm) - min(y_cm) as dy, max(z_cm) - min(z_cm) as dz, pi() / 6 as a from points where instance_gt > 0 group by all),
 inb as (select box_id, p.scan_id, point_id, abs((x_cm - cx) * cos(a) + (y_cm - cy) * sin(a)) - dx / 2 as u, abs((y_cm - cy) * cos(a) - (x_cm - cx) * sin(a)) - dy / 2 as v, abs(z_cm - cz) - dz / 2 as w
   from points p join bx on p.scan_id = bx.scan_id)"""
 on_points("box_range_filter", lambda p: boxes.in_range(_boxes(p).withColumn("yaw", F.lit(4.0))).select("scan_id", "box_id", "yaw"), _BX + " select scan_id, box_id, round(4.0::double - 2 * pi(), 6) as yaw from bx where cx > 1000 and cx < 5000 and cy > 1000 and cy < 5000")
 on_points("box_class_filter", lambda p: boxes.of_classes(_boxes(p).withColumn("class", (F.col("box_id") % 3).cast("int")), (0, 2)).select("scan_id", "box_id", "class"), _BX + " select scan_id, box_id, cast(box_id % 3 as int) as class from bx where box_id % 3 in (0, 2)")
 on_points("box_margin_removed", lambda p: boxes.without_margin(p, _boxes(p)).select("scan_id", "point_id"), _BX + " select scan_id, point_id from points p where not exists (select 1 from inb i where i.scan_id = p.scan_id and i.point_id = p.point_id and u <= 50 and v <= 50 and w <= 50) or exists (select 1 from inb i where i.scan_id = p.scan_id and i.point_id = p.point_id and u <= 0 and v <= 0 and w <= 0)")
-on_points("box_objects_put_in", lambda p: boxes.with_objects(p, _boxes(p), p.where("scan_id = 1 and instance_gt % 10 = 2")), _BX + " select scan_id, point_id, instance_gt from points p where not exists (select 1 from inb i where i.scan_id = p.scan_id and i.point_id = p.point_id and u <= 0 and v <= 0 and w <= 0) union all select scan_id, point_id, instance_gt from points where scan_id = 1 and instance_gt % 10 = 2")
+on_points("box_objects_put_in", lambda p: boxes.with_objects(p, _boxes(p), p.where("scan_id = 1 and instance_gt > 0")), _BX + " select scan_id, point_id, instance_gt from points p where not exists (select 1 from inb i where i.scan_id = p.scan_id and i.point_id = p.point_id and u <= 0 and v <= 0 and w <= 0) union all select scan_id, point_id, instance_gt from points where scan_id = 1 and instance_gt > 0")
 _on(("customer",), "dataset_route", lambda c: boxes.route(c.select("c_custkey", F.concat(F.when(F.col("c_custkey") % 3 == 0, "scannet_").when(F.col("c_custkey") % 3 == 1, "forest_").otherwise("x_"), F.col("c_custkey").cast("string")).alias("name")), "name", {"scannet": "indoor", "forest": "outdoor"}).groupBy("head").agg(F.count(F.lit(1)).alias("n")),
     "select case c_custkey % 3 when 0 then 'indoor' when 1 then 'outdoor' else 'unknown dataset' end as head, count(*) as n from customer group by 1", True)
 on_points("region_merge", lambda p: boxes.region_merge(geo.tile_membership(p, 800, 1600).join(p.where("instance_pred >= 0").select("scan_id", "point_id", F.col("instance_pred").alias("local")), ["scan_id", "point_id"]).select("scan_id", "region_id", "point_id", "local")))

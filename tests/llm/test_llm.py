@@ -324,16 +324,17 @@ def test_decisions_are_a_code():
     rng = np.random.default_rng(2)
     trees = context_mixing.Trees(rng.integers(0, 50, (256, 256)).astype(float))
     texts = [[b"some", b"words"], [b"others"]]
-    into = np.zeros((len(context_mixing.ORDERS), 2 << context_mixing.SLOT_BITS), np.uint32)
-    context_mixing.count(trees, texts, into)
-    mixer = context_mixing.Mixer(trees, np.stack([context_mixing.logits(t.reshape(-1, 2)) for t in into]))
+    counts = context_mixing.Counts(trees)
+    counts.add(texts)
+    mixer = context_mixing.Mixer(trees, np.stack([context_mixing.logits(t.reshape(-1, 2)) for t in counts.close()]))
     total = 0.0
     x = np.frombuffer(b"\n" * 6 + b"somet", np.uint8)
     for last in range(256):
         y = np.r_[x, np.uint8(last)]
         of, prev, node, bit = context_mixing.decisions(trees, y, np.array([len(y) - 1]))
         st = mixer.inputs(y, np.array([len(y) - 1]), of, prev, node)
-        dot = (mixer.weights[(st[:, 1:-1] != 0).sum(axis=1)] * st).sum(axis=1)
+        seen = sum((s != 0).astype(int) for s in st[1:])
+        dot = sum(mixer.weights[seen, k] * s for k, s in enumerate(st)) + mixer.weights[seen, -1] * context_mixing.CONSTANT
         total += float(np.prod(1 / (1 + np.exp(-dot * (bit * 2.0 - 1)))))
     assert total == pytest.approx(1, abs=1e-5)
 

@@ -108,7 +108,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sha
     rows = checkpoint(leaves_and_tokens(docs, id_col, text_col))
     leaf = budgets(rows, max_epochs, share, domain_weights, lang_weights, source_weights)
     # hex digits of a bucket: 16 buckets for each factor of 16 in the leaf's rows over BUCKET_ROWS
-    leaf = _small(leaf.withColumn("digits", F.greatest(F.lit(1.0), F.ceil(F.log(16.0, F.greatest(F.col("docs") / BUCKET_ROWS, F.lit(1.0))))).cast("int")))
+    leaf = _small(leaf.withColumn("digits", F.greatest(F.lit(2.0), F.ceil(F.log(16.0, F.greatest(F.col("docs") / BUCKET_ROWS, F.lit(1.0))))).cast("int")))
     placed = rows.join(leaf.select(*LEAF, "full", "rest", "digits"), LEAF).withColumn("spin", _spin(seed)).withColumn("bucket", F.substring("spin", F.lit(1), F.col("digits")))
     sums = placed.groupBy(*LEAF, "rest", "bucket").agg(F.sum("n_tokens").alias("n"))
     upto = Window.partitionBy(*LEAF).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -18,8 +18,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     adaptive execution splits it. Links with a null end and loops are ignored;
     no links give no rows.
     """
-    one = links.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src <> dst")
-    edges = checkpoint(one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    both = F.explode(F.array(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(b).alias("src"), F.col(a).alias("dst"))))
+    edges = checkpoint(links.where(F.col(a) != F.col(b)).select(both.alias("e")).select("e.*").distinct())
     label = checkpoint(edges.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("component")))
     while True:
         near = (

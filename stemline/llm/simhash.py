@@ -250,10 +250,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col, words))
     unique = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    groups = connected_components(link_fingerprints(unique, threshold))
-    named = unique.join(groups, unique["fp"] == groups["node"], "left").select("fp", "first_id", F.coalesce("component", "fp").alias("group"))
-    least = named.groupBy("group").agg(F.min("first_id").alias("component_id"))
-    classes = named.join(least, "group").select(F.col("fp").alias("class_fp"), "component_id")
+    # a class goes by its smallest document, so that the smallest node of a component is its name
+    links = link_fingerprints(unique, threshold)
+    for side in "ab":
+        links = links.join(unique.select(F.col("fp").alias(side), F.col("first_id").alias(f"id_{side}")), side)
+    groups = connected_components(links, "id_a", "id_b")
+    classes = unique.join(groups, F.col("first_id") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "first_id").alias("component_id"))
     return rows.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

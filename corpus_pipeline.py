@@ -1,4 +1,4 @@
-"""The corpus pipeline: language ID, exact dedup, SimHash near-dedup, mixing, BPE.
+"""The corpus pipeline: language ID, exact dedup, near-dedup (SimHash and MinHash candidates, exact similarity), mixing, BPE.
 
 STAGES names its steps. Each takes (spark, docs, sf_dir) and returns a DataFrame; all
 but the last return the columns of docs. run() applies them to documents,
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.llm import bpe, exact_dedup, langid, mixing, simhash
+from stemline.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from stemline.llm.common import drop_ids, shared_folder
 
 
@@ -28,8 +28,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked fingerprints the document with the smallest id."""
-    return drop_ids(docs, simhash.simhash_groups(docs, words=5, threshold=5).where("doc_id <> component_id"))
+    """Of texts linked by a similarity of 0.8 or more of their five-word shingles, the document with the smallest id."""
+    return drop_ids(docs, near_dedup.near_copies(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

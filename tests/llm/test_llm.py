@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stemline.llm import bpe, context_mixing, embedding_dedup, exact_dedup, html_extract, langid, mixing, queries, simhash, substring_dedup, token_files
+from stemline.llm import bpe, context_mixing, embedding_dedup, exact_dedup, html_extract, langid, mixing, near_dedup, queries, simhash, substring_dedup, token_files
 from stemline.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -415,6 +415,26 @@ def test_pipeline(spark, docs, odd, none):
     assert len(got) > 100
 
 
+def test_near_copies_by_similarity(spark):
+    """Every pair of five-word similarity 0.8 or more is found, though SimHash alone sees few of them; and no other is."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(8)
+    rows, pairs = [], []
+    for k in range(300):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(60, 400))]
+        near = list(words)
+        for _ in range(max(1, round(len(words) * rng.choice([0.005, 0.01, 0.02, 0.03, 0.05])))):
+            near[rng.randrange(len(near))] = f"v{rng.randrange(10**6)}"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(near))]
+        a, b = ({" ".join(x[j : j + 5]) for j in range(len(x) - 4)} for x in (words, near))
+        pairs.append((k, len(a & b) / len(a | b)))
+    assert sum(0.8 <= j < 0.9 for _, j in pairs) > 40
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = {r.doc_id for r in cp.drop_near_copies(spark, df, SF).collect()}
+    assert kept == {i for i, _ in rows} - {2 * k + 1 for k, j in pairs if j >= 0.8}
+
+
 def test_sql_of_registered_queries(spark):
     import glob
     import os

@@ -1,9 +1,9 @@
 """Main text of web pages by a site style tree.
 
 The pages of a host are merged into one tree of styles (tag, class, id); each node gathers which contents
-stand under it on how many pages. A node is important if it stands for content
-by its own style, or, where its style says nothing, if its contents differ from page to page: menus
-and adverts repeat, articles don't. Branches of low importance are taken out of each page.
+stand under it on how many pages. A node is important if its contents differ
+from page to page: menus and adverts repeat, articles don't. Branches of low importance, and
+those that are no content by their own style, are taken out of each page.
 """
 
 from __future__ import annotations
@@ -198,11 +198,8 @@ def low_nodes(tree: DataFrame) -> DataFrame:
 
 
 def text_of(page: Page, low) -> str:
-    """Text of the blocks that are left: those of content branches, if there are any, else those that neither style nor tree takes out."""
-    said = [x for _, says, x in page.blocks if says == 1]
-    if said:
-        return "\n".join(said)
-    return "\n".join(x for path, says, x in page.blocks if says == 0 and path not in low)
+    """Text of the blocks that are left: those that neither their style nor the tree takes out, within a content branch and beside it."""
+    return "\n".join(x for path, says, x in page.blocks if says >= 0 and path not in low)
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

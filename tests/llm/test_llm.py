@@ -269,6 +269,12 @@ def test_style_tree_drops_what_repeats(spark, monkeypatch):
     assert {(r.page_id, r.text) for r in html_extract.extract(df).collect()} == want
 
 
+def test_tree_decides_inside_and_beside_an_article(spark):
+    rows = [(k, f"http://h.example/{k}", f"<body><article><div class='box'>Same on all pages</div><p>Story {k}</p></article><div class='body'>More of {k}</div></body>") for k in range(12)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {(r.page_id, r.text) for r in html_extract.extract(df).collect()} == {(k, f"Story {k}\nMore of {k}") for k in range(12)}
+
+
 def brute_links(rows):
     ok = {}
     for n, (i, v, label) in enumerate(rows):

@@ -70,8 +70,8 @@ def style(name: str, attrs: str) -> tuple[str, int]:
     words: list[str] = []
     for _, a, b, c in _ATTR.findall(attrs):
         words += re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", a or b or c).lower())
-    words = sorted({w for w in words if w})[:4]
-    label = ".".join([name, *words])
+    words = sorted({w for w in words if w})
+    label = ".".join([name, *words] if len(words) <= 4 else [name, *words[:4], f"{xxh64_intdigest('.'.join(words)):x}"])
     if name in NOISE_TAGS or any(w in NOISE_WORDS for w in words) and name not in ("body", "html"):
         return label, -1
     return label, int(name in MAIN_TAGS or any(w in MAIN_WORDS for w in words) and name not in ("body", "html"))

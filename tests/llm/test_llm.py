@@ -275,6 +275,12 @@ def test_tree_decides_inside_and_beside_an_article(spark):
     assert {(r.page_id, r.text) for r in html_extract.extract(df).collect()} == {(k, f"Story {k}\nMore of {k}") for k in range(12)}
 
 
+def test_all_words_of_a_style_count():
+    for attrs, says in (('id="sidebar" class="col-md-4 d-none hidden-xs"', -1), ('class="a b c d e story"', 1), ('class="a b c d e f"', 0)):
+        assert html_extract.style("div", attrs)[1] == says
+    assert len({html_extract.style("div", f'class="a b c d e {x}"')[0] for x in "xyz"}) == 3
+
+
 def brute_links(rows):
     ok = {}
     for n, (i, v, label) in enumerate(rows):

@@ -228,14 +228,21 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     # many hosts: each page meets its host's few low nodes; pages of one host may be split over tasks
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     sets = low.where("host is not null").groupBy(F.col("host").alias("h")).agg(F.collect_list("path").alias("low"))
-    everywhere = [r["path"] for r in low.where("host is null").limit(BROADCAST_NODES).collect()]
+    # pages of other hosts: the paths of each are joined to the low nodes of all hosts; equal pages have equal paths
+
+    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(d, path) for d, h in zip(batch["digest"].to_pylist(), batch["html"].to_pylist()) for path in {path for path, _, _ in Page(h).blocks}]
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in found], pa.string()), pa.array([x for _, x in found], pa.string())], names=["of", "path"])
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = set(everywhere)
         for batch in batches:
-            yield _texts(batch, (common if x is None else set(x) for x in batch["low"].to_pylist()))
+            yield _texts(batch, (set(x or ()) for x in batch["low"].to_pylist()))
 
-    return slim.withColumn("h", host).join(sets, "h", "left").select("page_id", "url", "html", "low").mapInArrow(joined, schema)
+    met = slim.withColumn("h", host).withColumn("digest", F.md5(F.col("html").cast("binary"))).join(sets, "h", "left")
+    others = met.where("low is null and html is not null").select("digest", "html").mapInArrow(paths, "of string, path string")
+    common = others.join(low.where("host is null").select("path"), "path").groupBy("of").agg(F.collect_set("path").alias("common"))
+    return met.join(common, F.col("digest") == F.col("of"), "left").select("page_id", "url", "html", F.coalesce("low", "common").alias("low")).mapInArrow(joined, schema)
 
 
 def _texts(batch: pa.RecordBatch, lows) -> pa.RecordBatch:

@@ -281,6 +281,13 @@ def test_all_words_of_a_style_count():
     assert len({html_extract.style("div", f'class="a b c d e {x}"')[0] for x in "xyz"}) == 3
 
 
+def test_all_low_nodes_of_all_hosts_count(spark, monkeypatch):
+    rows = [(k, f"http://h{k}.example/", "<body>" + "".join(f"<div class='{c * 3}'>Same {c}</div>" for c in "xyz") + f"<p>Only {k}</p></body>") for k in range(20)]
+    df = spark.createDataFrame([*rows, (20, "http://h20.example/", None)], "page_id bigint, url string, html string")
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", 1)
+    assert {(r.page_id, r.text) for r in html_extract.extract(df).collect()} == {(k, f"Only {k}") for k in range(20)} | {(20, "")}
+
+
 def brute_links(rows):
     ok = {}
     for n, (i, v, label) in enumerate(rows):

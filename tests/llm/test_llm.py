@@ -288,6 +288,11 @@ def test_all_low_nodes_of_all_hosts_count(spark, monkeypatch):
     assert {(r.page_id, r.text) for r in html_extract.extract(df).collect()} == {(k, f"Only {k}") for k in range(20)} | {(20, "")}
 
 
+def test_head_without_its_end():
+    for source in ("<head><title>t</title><body><article><p>Text</p></article></body>", "<html><head><meta charset=utf-8><style>p{}</style><p>Text", "<head><title>t</title></head><p>Text"):
+        assert [x for _, _, x in html_extract.Page(source).blocks] == ["Text"]
+
+
 def brute_links(rows):
     ok = {}
     for n, (i, v, label) in enumerate(rows):

@@ -87,13 +87,13 @@ class CrossParser:
     """Phrase costs of texts under each language; a phrase never leaves a run of letters, so costs are sums over words.
 
     model: (language, labelled words) pairs. A phrase costs the logarithm of the
-    length of the text that it points into, so languages with more words have no advantage.
+    length of the longest such text under all languages, so that a short one doesn't make phrases cheap.
     """
 
     def __init__(self, model: list[tuple[str, str]]):
         self.languages = [k for k, _ in model]
         self._automata = [SuffixAutomaton(words) for _, words in model]
-        self._bits = np.array([math.log2(len(words) + 2) for _, words in model])
+        self._bits = math.log2(max((len(words) for _, words in model), default=0) + 2)
         self._row: dict[str, int] = {}
         self._table = np.zeros((CACHE_WORDS, len(model)), np.float32)
 
@@ -141,9 +141,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """(language, distinct words joined by blanks) for each learned language, most frequent first.
 
     Learns from labelled rows outside the held-out fold. The rows of a language
-    with the smallest hashes of their ids are its sample, within the documented bounds.
+    with the smallest hashes of their ids are its sample, within the documented bounds. Words are
+    kept whole, however long; rows without a letter teach nothing, and a language that has no others isn't learned.
     """
-    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g")).where((_fold("i", 3) != 1) & F.col("t").isNotNull() & F.col("g").isNotNull())
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g")).where((_fold("i", 3) != 1) & F.col("t").rlike(r"\p{L}") & F.col("g").isNotNull())
     counts = rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()
     if not counts:
         return []
@@ -157,10 +158,11 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         room = WORD_CHARS
         for x in [x for x in picked if x["g"] == r["g"]][:SAMPLE_DOCS]:
             for w in words_of(x["t"]):
-                if w not in words and room > 0 and len(w) <= CACHE_CHARS:
+                if w not in words and room > 0:
                     words[w] = None
                     room -= len(w) + 1
-        model.append((r["g"], f" {' '.join(words)} "))
+        if words:
+            model.append((r["g"], f" {' '.join(words)} "))
     return model
 
 

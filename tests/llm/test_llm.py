@@ -245,6 +245,21 @@ def test_automaton_phrases():
         assert langid.SuffixAutomaton(s).phrases(t) == n
 
 
+def test_language_with_long_words_or_little_text(spark):
+    """A language without blanks is learned; one with hardly any labelled text, or no letters, doesn't take over."""
+    rng = random.Random(5)
+    latin = ["house", "water", "green", "table", "river", "stone", "winter", "summer", "letter", "window"]
+    rows = []
+    for k in range(60):
+        rows.append((2 * k, " ".join(rng.choice(latin) + rng.choice(["", "s", "ing", "ed"]) for _ in range(60)), "en"))
+        rows.append((2 * k + 1, "".join(rng.choice("天地玄黄宇宙洪荒日月盈昃辰宿列张") for _ in range(200)), "zh"))
+    rows += [(k, "123 456", "none") for k in range(500, 530)] + [(k, "a e", "tiny") for k in range(600, 630)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert {k for k, _ in langid.fit(df)} == {"en", "zh", "tiny"}
+    said = {r.doc_id: r.lang_pred for r in langid.language_id(df).collect()}
+    assert all(said[i] == g for i, _, g in rows if g in ("en", "zh"))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="<p>no</p>";</script><style>p{}</style></head><body class="has-sidebar"><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><form><p>Search</p><input></form><article><header><h1>A  &amp; B</h1></header><p>One<br>two <b>th</b>ree<p>Four&nbsp;five &lt;x&gt;<ul><li>i</li><li>j</ul>
 <!-- <p>hidden</p> --><aside>Aside</aside><div id="comments"><p>First!</p></div></article><div class="ad">Buy</div><footer>(c)</footer></body></html>"""

@@ -358,32 +358,162 @@ def test_lm_scores(which, request):
         assert sum(r.bits_per_byte for r in got if r.held_out) / sum(r.held_out for r in got) < 3.2
 
 
+def small_model(texts, fit=True):
+    """A model trained on texts without Spark, and the counts that it is made of."""
+    cm = context_mixing
+    c = Counter(k for t in texts for k in cm.pieces_of(cm.tokens_of(t)))
+    top = {k: n for k, n in c.items() if n > 1 and not k.startswith(b" ")} | {cm.END: max(1, c[cm.END])}
+    tree = cm.Vocabulary(list(top), np.array(list(top.values())), sum(c.values()) - sum(top.values()))
+    names = [k for k in c if k != cm.END]
+    n = np.array([1 if k in top else c[k] for k in names])
+    trees = cm.Trees(cm.pair_counts(names, n).reshape(256, 256))
+    d = cm.Decisions(trees, [cm.coded(k) for k in names])
+    states = []
+    for h in d.hashes:
+        q = cm.quantised(np.bincount(cm.slots(h, 14) * 2 + d.bit, weights=np.repeat(n, d.size), minlength=2 << 14).reshape(-1, 2)).astype(np.uint16)
+        states.append(q[:, 0] << 8 | q[:, 1])
+    rng = np.random.default_rng(3)
+    spelling = cm.Spelling(trees, states, rng.uniform(0.1, 0.5, (cm.GATES, cm.Spelling.inputs)).astype(np.float32))
+    words = cm.Words(tree, spelling)
+    pairs = cm.Pairs(words, 14)
+    pairs.add([cm.pieces_of(cm.tokens_of(t)) for t in texts])
+    q = cm.quantised(pairs.counts.reshape(-1, 2)).astype(np.uint16)
+    return cm.Mixer(words, q[:, 0] << 8 | q[:, 1], rng.uniform(0.1, 0.9, (cm.GATES, cm.Mixer.inputs)).astype(np.float32))
+
+
+def plain_score(mixer, text, window=1 << 60):
+    """The same model bit by bit, in whole numbers and dictionaries."""
+    cm, tree, spelling = context_mixing, mixer.words.tree, mixer.words.spelling
+    upto = np.concatenate([[0.0], np.cumsum(tree.count)])
+    of_word = {w: k for k, w in enumerate(tree.words)}
+    M = (1 << 32) - 1
+
+    def tree_path(leaf):
+        lo, hi = 0, len(tree.count)
+        while hi - lo > 1:
+            half = min(range(lo + 1, hi), key=lambda m: (abs(2 * upto[m] - upto[lo] - upto[hi]), -m))
+            seen = upto[hi] - upto[lo]
+            yield half * 0x9E3779B1 & M, int(leaf >= half), math.log((upto[hi] - upto[half]) / (upto[half] - upto[lo])), math.log(seen)
+            lo, hi = (half, hi) if leaf >= half else (lo, half)
+
+    def state_of(table, h):
+        return int(table[(h * 0x9E3779B1 & M) >> (32 - (len(table).bit_length() - 1))])
+
+    def spelt_path(string):
+        trees = spelling.trees
+        for k, byte in enumerate(string):
+            past = b" " * 5 + string[:k]
+            code = past[-1] << 8 | byte
+            short, h = [], 0
+            for j in range(1, 6):
+                h = (h + past[-j] + j) * 0x2C9277B5 & M
+                h ^= h >> 15
+                if j in cm.ORDERS:
+                    short.append(h)
+            far = sum(int(cm._BYTE[b]) * pow(0x9E3779B97F4A7C15, i + 1, 1 << 64) for i, b in enumerate(string[:k])) % (1 << 64)
+            far = ((far ^ far >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1) >> 32
+            for at in range(int(trees.start[code]), int(trees.start[code] + trees.size[code])):
+                node, bit = int(trees.node[at]), int(trees.bit[at])
+                word = (far + node * 0x9E3779B1 & M) * 0xC2B2AE35 & M
+                word ^= word >> 15
+                hs = [((x * 0x85EBCA6B & M) + node * 0x9E3779B1 & M) * 0xC2B2AE35 & M for x in short] + [word]
+                found = [state_of(t, x) for t, x in zip(spelling.states, hs)]
+                gate = cm.SEEN[found[2]] * cm.CLASSES + cm.SEEN[found[1]]
+                z = sum(w * x for w, x in zip(spelling.weights[gate].tolist(), [float(trees.prior[past[-1] << 8 | node]), *(float(cm.LOGIT[x]) for x in found), 1.0]))
+                yield word, bit, z, -math.inf
+
+    before, offset, segment, total, since, passed = None, 0, 0, 0.0, 0, 0
+    seen, own, step = {}, {}, {}
+    for name in cm.pieces_of(cm.tokens_of(text)):
+        string = cm.coded(name)
+        path = list(tree_path(of_word[name])) if name in of_word else [*tree_path(len(tree.words)), *spelt_path(string)]
+        passed += len(path)
+        if (passed // window) != since:  # another window: its place and memory begin anew
+            since, offset, seen = passed // window, 0, {}
+            before = None
+            segment = -1
+        now = int(np.searchsorted(cm.BOUNDS, offset, side="right"))
+        if now != segment:
+            for k, x in step.items():
+                own[k] = own.get(k, 0.0) + x * float(cm.RATE)
+            step, segment = {}, now
+        key = cm.xxh64_intdigest(before, 42) >> 32 if before in of_word else 0
+        often = math.log(tree.count[of_word[before]]) if before in of_word else -math.inf
+        for word, bit, level, node_seen in path:
+            pair = 0
+            if np.float32(node_seen) + np.float32(often) >= mixer.floor:
+                pair = state_of(mixer.pairs, ((key * 0x2C9277B5 & M) ^ word) * 0x85EBCA6B & M)
+            n = seen.setdefault(word, [0, 0])
+            here = min(n[0], 127) << 8 | min(n[1], 127)
+            n[bit] += 1
+            gate = int(cm.SEEN[pair] * cm.CLASSES + cm.SEEN[here])
+            inputs = [level, float(cm.LOGIT[pair]), float(cm.LOGIT[here])]
+            dot = sum((float(mixer.weights[gate, k]) + own.get((gate, k), 0.0)) * x for k, x in enumerate(inputs))
+            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, dot if bit else -dot))))
+            total += math.log10(p)
+            for k, x in enumerate(inputs):
+                step[gate, k] = step.get((gate, k), 0.0) + (1 - p) * (1 if bit else -1) * x
+        before, offset = name, offset + len(string)
+    return total
+
+
+LM_TEXTS = ["the cat sat on the mat and the cat ate", "a dog sat on a log and the dog slept", "the mat the mat the mat " * 40, "", None, "zebra " + "q" * 120 + " zebra the", "né 中文 né the cat"]
+
+
+def test_scores_equal_a_plain_model_bit_by_bit(docs):
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(40).collect()]
+    mixer = small_model(LM_TEXTS[:5] + texts[:30])
+    asked = LM_TEXTS + texts[25:35]
+    got = mixer.scores(context_mixing._numbered(mixer.words, [context_mixing.tokens_of(t) for t in asked]))
+    assert got.tolist() == pytest.approx([plain_score(mixer, t) for t in asked], rel=2e-4)
+
+
+def test_windows_of_a_very_long_text(monkeypatch):
+    mixer = small_model(LM_TEXTS)
+    monkeypatch.setattr(context_mixing, "WINDOW", 300)
+    asked = [LM_TEXTS[0], LM_TEXTS[2], LM_TEXTS[1]]
+    got = mixer.scores(context_mixing._numbered(mixer.words, [context_mixing.tokens_of(t) for t in asked]))
+    assert got.tolist() == pytest.approx([plain_score(mixer, t, 300) for t in asked], rel=2e-4)
+
+
 def test_decisions_are_a_code():
-    """The probabilities of all bytes after any context add up to one."""
-    rng = np.random.default_rng(2)
-    trees = context_mixing.Trees(rng.integers(0, 50, (256, 256)).astype(float))
-    texts = [[b"some", b"words"], [b"others"]]
-    counts = context_mixing.Counts(trees)
-    counts.add(texts)
-    mixer = context_mixing.Mixer(trees, np.stack([context_mixing.logits(t.reshape(-1, 2)) for t in counts.close()]))
+    """The probabilities of all words of the tree and the escape add up to one, and so do those of all first bytes of what is spelt."""
+    mixer = small_model(LM_TEXTS)
+    tree = mixer.words.tree
+    w = mixer.words
+    p = [np.prod(1 / (1 + np.exp(-tree.prior[tree.node[a : a + n]] * (tree.bit[a : a + n] * 2.0 - 1)))) for a, n in zip(tree.start.tolist(), tree.size.tolist())]
+    assert sum(p) == pytest.approx(1, abs=1e-5)
+    assert p == pytest.approx((tree.count / tree.count.sum()).tolist(), rel=1e-4)
     total = 0.0
-    x = np.frombuffer(b"\n" * 6 + b"somet", np.uint8)
-    for last in range(256):
-        y = np.r_[x, np.uint8(last)]
-        of, prev, node, bit = context_mixing.decisions(trees, y, np.array([len(y) - 1]))
-        st = mixer.inputs(y, np.array([len(y) - 1]), of, prev, node)
-        seen = sum((s != 0).astype(int) for s in st[1:])
-        dot = sum(mixer.weights[seen, k] * s for k, s in enumerate(st)) + mixer.weights[seen, -1] * context_mixing.CONSTANT
-        total += float(np.prod(1 / (1 + np.exp(-dot * (bit * 2.0 - 1)))))
+    for byte in range(256):
+        d = context_mixing.Decisions(w.spelling.trees, [bytes([byte])])
+        total += float(np.prod(1 / (1 + np.exp(-w.spelling.logits(d) * (d.bit * 2.0 - 1)))))
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_weights_learn_within_short_texts(monkeypatch):
+    mixer = small_model(LM_TEXTS)
+    number = context_mixing._numbered(mixer.words, [b"the mat the mat the mat the mat the mat the mat".split()])
+    online, moved = mixer.run(number)
+    assert np.abs(moved).max() > 0
+    monkeypatch.setattr(context_mixing, "RATE", np.float32(0))
+    assert mixer.run(number)[0][0] < online[0]
+
+
 def test_a_document_is_scored_alone():
-    trees = context_mixing.Trees(np.ones((256, 256)))
+    mixer = small_model(LM_TEXTS)
+    texts = [[b"ab" * 700, b"c"], [], [b"x"] * 900, [b"the", b"cat"]]
+    alone = [mixer.scores(context_mixing._numbered(mixer.words, [t]))[0] for t in texts]
+    assert mixer.scores(context_mixing._numbered(mixer.words, texts)).tolist() == pytest.approx(alone, rel=1e-6)
+
+
+def test_pairs_fit_the_table():
     rng = np.random.default_rng(1)
-    mixer = context_mixing.Mixer(trees, rng.integers(-50, 50, (3, 1 << context_mixing.SLOT_BITS)).astype(np.int8))
-    texts = [[b"ab" * 700, b"c"], [], [b"x"] * 900]
-    assert mixer.run(texts) == pytest.approx([mixer.run([t])[0] for t in texts], rel=1e-6)
+    tree = context_mixing.Vocabulary([f"w{k}".encode() for k in range(500)], rng.zipf(1.3, 500).clip(1, 10**6), 50)
+    node = tree.seen[tree.seen > 0]
+    for slots in (1 << 8, 1 << 12, 1 << 20):
+        needed = sum((tree.count[:-1] * n >= math.exp(tree.pair_floor(slots))).sum() for n in node)
+        assert needed <= slots // 2
 
 
 def plain_fill(children, budget):

@@ -493,7 +493,7 @@ def test_decisions_are_a_code():
 
 def test_weights_learn_within_short_texts(monkeypatch):
     mixer = small_model(LM_TEXTS)
-    number = context_mixing._numbered(mixer.words, [b"the mat the mat the mat the mat the mat the mat".split()])
+    number = context_mixing._numbered(mixer.words, [b"the mat".split() * 60])
     online, moved = mixer.run(number)
     assert np.abs(moved).max() > 0
     monkeypatch.setattr(context_mixing, "RATE", np.float32(0))

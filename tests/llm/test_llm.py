@@ -291,7 +291,7 @@ def test_tree_decides_inside_and_beside_an_article(spark):
 
 
 def test_all_words_of_a_style_count():
-    for attrs, says in (('id="sidebar" class="col-md-4 d-none hidden-xs"', -1), ('class="a b c d e story"', 1), ('class="a b c d e f"', 0)):
+    for attrs, says in (('id="sidebar" class="col-md-4 d-none hidden-xs"', -2), ('class="alpha beta card dark sidebar"', -2), ('class="share-price"', -1), ('class="search-results story"', 0), ('class="a b c d e story"', 1), ('class="a b c d e f"', 0)):
         assert html_extract.style("div", attrs)[1] == says
     assert len({html_extract.style("div", f'class="a b c d e {x}"')[0] for x in "xyz"}) == 3
 
@@ -305,7 +305,111 @@ def test_all_low_nodes_of_all_hosts_count(spark, monkeypatch):
 
 def test_head_without_its_end():
     for source in ("<head><title>t</title><body><article><p>Text</p></article></body>", "<html><head><meta charset=utf-8><style>p{}</style><p>Text", "<head><title>t</title></head><p>Text"):
-        assert [x for _, _, x in html_extract.Page(source).blocks] == ["Text"]
+        assert [x for _, x in html_extract.Page(source).blocks] == ["Text"]
+
+
+def texts_of(spark, rows):
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("host", F.lit("clash")).withColumn("low", F.lit("clash")).withColumn("h", F.lit(1))
+    return {r.page_id: r.text for r in html_extract.extract(df).collect()}
+
+
+def test_the_tree_decides_on_every_page(spark, monkeypatch):
+    """What most pages hold goes, wherever it stands; what differs stays, whatever stands around it."""
+    sites = {
+        "a": ("<article><p>Same on all pages</p><p>Only {k}</p></article>", "Only {k}"),
+        "b": ("<div class='content'><ul><li>Home</li><li>About us</li></ul><p>Story {k}</p></div>", "Story {k}"),
+        "c": ("<section class='search-results story'><p>Found {k}</p></section><div class='share-price'>At {k}.5 today</div>", "Found {k}\nAt {k}.5 today"),
+        "d": ("<div class='post'><p>Post {k}</p></div><div><p>Beside {k}</p></div>", "Post {k}\nBeside {k}"),
+        "e": ("<form id='aspnetForm'><div><p>Whole page {k} in a form</p></div></form>", "Whole page {k} in a form"),
+        "f": ("<div class='alpha beta card dark sidebar'>Side {k}</div>" + "<div>" * 60 + "Deep {k}" + "</div>" * 60 + "<div>" * 30 + "<section>" + "<div>" * 29 + "Other {k}", "Deep {k}\nOther {k}"),
+        "g": ("<div class='box'>{three}</div><p>Long unique text of page number {k}</p>", "Long unique text of page number {k}"),
+    }
+    rows, want = [], {}
+    for n, (name, (source, text)) in enumerate(sites.items()):
+        for k in range(40):
+            rows.append((100 * n + k, f"http://{name}.example/{k}", "<body>" + source.replace("{k}", str(k)).replace("{three}", "Turning banner " + "xyz"[k % 3]) + "</body>"))
+            want[100 * n + k] = text.replace("{k}", str(k))
+    assert texts_of(spark, rows) == want
+    monkeypatch.setattr(html_extract, "BROADCAST_NODES", 0)
+    assert texts_of(spark, rows) == want
+
+
+def test_copies_of_a_page_are_no_menu(spark):
+    rows = [(k, "http://h.example/", "<body><p>One article, many times</p></body>") for k in range(30)]
+    assert set(texts_of(spark, rows).values()) == {"One article, many times"}
+
+
+def plain_low(rows):
+    """The rule on one machine: trees by recursion."""
+    he = html_extract
+    trees: dict = {}
+    for host, source in rows:
+        page = he.Page(source)
+        if page.blocks:
+            nodes = ((0, -1, he._kinds(page.kinds[0])), *((n, u, he._kinds(page.kinds[n])) for n, u in page.up.items()))
+            trees.setdefault(host, set()).add((nodes, tuple(dict.fromkeys((n, he.content_key(n, t), len(t)) for n, t in page.blocks))))
+    up, style, held = {}, {}, {}
+    for host, pages in trees.items():
+        for nodes, contents in pages:
+            for n, u, kinds in nodes:
+                up[n] = u
+                style.setdefault((host, n), Counter())[kinds] += 1
+            for n, key, size in contents:
+                held.setdefault((host, n), Counter())[key, size] += 1
+    for (host, n), c in [*style.items()]:
+        for kinds, x in c.items():
+            style.setdefault((he.EVERYWHERE, n), Counter())[kinds] += 1
+    every: dict = {}
+    for (host, n), c in held.items():
+        for key, x in c.items():
+            every.setdefault((he.EVERYWHERE, n), {}).setdefault(key, []).append(x)
+    of_all = {n: sum(sum(c.values()) for (h, m), c in style.items() if m == n and h != he.EVERYWHERE) for n in up}
+    low = set()
+    for host in [*trees, he.EVERYWHERE]:
+        here = [n for h, n in style if h == host]
+        total, least = {n: sum(style[host, n].values()) for n in here}, he.ALL_HOSTS if host == he.EVERYWHERE else he.HOST_PAGES
+
+        def own(n):
+            size = worth = 0.0
+            for (key, chars), x in (every if host == he.EVERYWHERE else held).get((host, n), {}).items():
+                m, on, of = (len(x), sum(x), of_all[n]) if host == he.EVERYWHERE else (x, x, total[n])
+                if total[n] >= least and on * 2 > of:
+                    low.add((host, key, 2))
+                else:
+                    size += chars * m
+                    worth += chars * m * (1 - math.log(m) / math.log(total[n]) if total[n] > 1 else 1)
+            return size, worth
+
+        sums = {n: own(n) for n in here}
+
+        def below(n):
+            parts = [sums[n], *(below(c) for c in here if up[c] == n)]
+            return sum(p[0] for p in parts), sum(p[1] for p in parts)
+
+        for n in here:
+            size, worth = below(n)
+            c, m = style[host, n], total[n]
+            shown = -sum(x / m * math.log(x / m) for x in c.values()) / math.log(m) if m > 1 else 1
+            trust = he.DECAY ** (len(c) - 1)
+            value = (1 - trust) * shown + trust * (worth / size if size else 0)
+            if m >= least and (value < he.MIDDLING or n == 0):
+                low.add((host, n, 2 if value < he.LOW else 1 if value < he.MIDDLING else 0))
+    return low
+
+
+def test_low_nodes_equal_a_plain_tree(spark):
+    rng = random.Random(12)
+
+    def piece(depth):
+        if depth == 0:
+            return rng.choice(["Same for long", "Often " + rng.choice("ab"), f"New {rng.randrange(40)}", "Turn " + "xyz"[rng.randrange(3)] * 9])
+        return "".join(f"<{tag}>{piece(depth - 1)}</{tag}>" for tag in rng.sample(["div", "section", "ul"], rng.randint(2, 3)))
+
+    rows = [(f"h{min(k % 14, 10)}.example", piece(2)) for k in range(160)]
+    rows += rows[:10]
+    df = spark.createDataFrame([(k, f"http://{h}/{k}", x) for k, (h, x) in enumerate(rows)], "page_id bigint, url string, html string")
+    got = {(r.host, r.key, r.level) for r in html_extract.low_nodes(df).collect()}
+    assert got == plain_low(rows) and {x for _, _, x in got} == {0, 1, 2}
 
 
 def brute_links(rows):

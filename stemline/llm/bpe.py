@@ -258,7 +258,11 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
 
 
 def bpe_digest(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of bpe_encode(), digested where it is made."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of bpe_encode(), digested where it is made.
+
+    Null texts count as empty; null ids and repeated rows are returned as they are; texts of any length are encoded
+    whole; other columns, whatever their names, are ignored; an empty table gives no rows.
+    """
     path = vocabulary or public_vocabulary()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,4 +284,5 @@ def _ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids and decoded text of all whole texts of documents: see bpe_digest."""
     return bpe_digest(table(spark, sf_dir, "documents"))

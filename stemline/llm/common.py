@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids that may be broadcast to drop rows: 8 bytes each, so 16 MB at most.
-BROADCAST_IDS = 2_000_000
+#: Rows of ids, digests and counts that may be broadcast: 80 bytes each, so 20 MB at most; and copies of each where there are more.
+BROADCAST_ROWS, SALT = 250_000, 16
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,15 +18,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and cut its lineage.
-
-    The folder is the one the session names in spark.checkpoint.dir; only where
-    that is unset (tests, one machine) a temporary folder is chosen.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stemline-"))
+    """Write df to the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -50,21 +44,61 @@ def placed(df: DataFrame, parts: int, key: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors share."""
+    """URI of the folder that the driver and all executors share: the one the session names in spark.checkpoint.dir.
+
+    Only where driver and executors are one process (tests) may it be unset, and a temporary folder is chosen; a cluster has to name one.
+    """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="stemline-"))
     return sc.getCheckpointDir()
 
 
-def drop_ids(docs: DataFrame, dropped: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs without the rows whose key is in dropped(key).
+def meet(rows: DataFrame, few: DataFrame, on: list[tuple[str, str]], how: str = "left") -> DataFrame:
+    """rows joined to few, whose keys are unique, when any key may be a third of all rows.
+
+    Up to BROADCAST_ROWS rows of few are broadcast. More are repeated SALT times and met by key and salt, so that no
+    key is one task's. few should be written already; how: left, left_anti or left_semi.
+    """
+    if few.count() <= BROADCAST_ROWS:
+        few, same = F.broadcast(few), F.lit(True)
+    else:
+        salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(SALT))
+        rows = rows.withColumn("_salt", salt)
+        few = few.withColumn("_salted", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint"))))
+        same = F.col("_salt") == F.col("_salted")
+    for left, right in on:
+        same = same & F.col(left).eqNullSafe(F.col(right))
+    return rows.join(few, same, how).drop("_salt", "_salted")
+
+
+def row_id(id_col: str, text: Column) -> Column:
+    """The id; where it is null, one behind all others that only equal texts share."""
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(1 << 62) + F.pmod(F.xxhash64(text), F.lit(1 << 61)))
+
+
+def drop_rows(docs: DataFrame, row: Column, digest: Column, dropped: DataFrame, again: DataFrame) -> DataFrame:
+    """docs without the rows whose (row, digest) is in dropped(row, digest), and with one of those in again(row, digest), which occur several times.
 
-    The ids are written first and counted; up to BROADCAST_IDS are broadcast,
-    more are anti-joined over a shuffle.
+    A row goes by its id and its text: another text of the same id stays.
     """
-    ids = checkpoint(dropped.select(F.col(key).alias("_drop")).distinct())
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs[key] == ids["_drop"], "left_anti")
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # whatever the columns are called
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], row, digest).toDF(*inner, "_row", "_digest")
+    gone = checkpoint(dropped.select(F.col("row").alias("_r"), F.col("digest").alias("_d")).distinct())
+    kept = meet(keyed, gone, [("_row", "_r"), ("_digest", "_d")], "left_anti")
+    again = checkpoint(again.select(F.col("row").alias("_r"), F.col("digest").alias("_d")).distinct())
+    if not again.isEmpty():
+        once = meet(kept, again, [("_row", "_r"), ("_digest", "_d")], "left_semi").dropDuplicates(["_row", "_digest"])
+        kept = meet(kept, again, [("_row", "_r"), ("_digest", "_d")], "left_anti").unionByName(once)
+    return kept.select(*inner).toDF(*names)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or one like it that no column of df has."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name

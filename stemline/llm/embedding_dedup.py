@@ -130,7 +130,7 @@ def _shards(classes: DataFrame) -> DataFrame:
     total = sum(r["count"] for r in sizes)
     each = max(SHARD, total // PIVOTS + 1)
     share = {(r["label"], r["dim"]): -(-r["count"] // each) / r["count"] for r in sizes}
-    listed = spark.createDataFrame([(lab, dim, float(s)) for (lab, dim), s in share.items()], "p_label bigint, p_dim int, share double")
+    listed = spark.createDataFrame([(lab, dim, float(s)) for (lab, dim), s in share.items()], "p_label string, p_dim int, share double")
     spin = F.pmod(F.xxhash64("class_id"), F.lit(1 << 40)) / float(1 << 40)
     picked = classes.join(F.broadcast(listed), (F.col("label") == F.col("p_label")) & (F.size("vector") == F.col("p_dim"))).where(spin < F.col("share"))
     pivots: dict[tuple, list] = {}
@@ -230,14 +230,14 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, id_col: s
     """(vec_id, n_links, component_id, kept) for each vector.
 
     Vectors link within a label and a dimension. Null labels and vectors that are null, empty, zero or hold
-    null or non-finite components link with nothing. Equal vectors of a label are one class
-    and count as links of one another. Rows with a null id are left out; rows that repeat an id are
-    each returned, and link like any two.
+    null or non-finite components link with nothing, and neither do rows with a null id, which have no component. Equal vectors of a label are one class
+    and count as links of one another. Rows that repeat an id are each returned, and link like any two. Labels may be of any
+    type; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     comp = F.col("vector")
     fine = F.forall(comp, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(comp, lambda v: v != 0)
-    rows = vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("bigint").alias("label"))
-    rows = rows.withColumn("usable", F.coalesce(fine & F.col("label").isNotNull(), F.lit(False)))
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(vector_col).alias("vector"), F.col(label_col).cast("string").alias("label"))
+    rows = rows.withColumn("usable", F.coalesce(fine & F.col("label").isNotNull() & F.col("vec_id").isNotNull(), F.lit(False)))
     classes = checkpoint(_classes(rows))
     found = checkpoint(links(classes, threshold))
     groups = connected_components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b")))
@@ -246,7 +246,7 @@ def embedding_groups(vectors: DataFrame, threshold: float = THRESHOLD, id_col: s
     named = named.select(F.col("label").alias("c_label"), F.col("vector").alias("c_vector"), (F.coalesce("others", F.lit(0)) + F.col("members") - 1).alias("n_links"), F.coalesce("component", "class_id").alias("component_id"))
     used = rows.where("usable").join(named, (F.col("label") == F.col("c_label")) & (F.col("vector") == F.col("c_vector"))).select("vec_id", "n_links", "component_id")
     alone = rows.where("not usable").select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return used.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return used.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
 def audit(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[int, int]:
@@ -271,18 +271,19 @@ def audit(vectors: DataFrame, threshold: float = THRESHOLD) -> tuple[int, int]:
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings: see embedding_groups."""
     return embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
 SQL = f"""
-with recursive e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings where vec_id is not null),
-u as (select * from e where label is not null and len(v) > 0 and list_sum(list_transform(v, lambda x: abs(x))) > 0
+with recursive e as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings),
+u as (select * from e where vec_id is not null and label is not null and len(v) > 0 and list_sum(list_transform(v, lambda x: abs(x))) > 0
   and len(list_filter(v, lambda x: x is not null and isfinite(x))) = len(v)),
 l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
   where list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= {THRESHOLD}),
 r(a, b) as (select a, b from l union select r.a, l.b from r join l on r.b = l.a),
 n as (select a, count(*) as n from l group by a),
 c as (select a, min(b) as b from r group by a)
-select vec_id, coalesce(n.n, 0) as n_links, least(vec_id, coalesce(c.b, vec_id)) as component_id, vec_id <= coalesce(c.b, vec_id) as kept
+select vec_id, coalesce(n.n, 0) as n_links, least(vec_id, coalesce(c.b, vec_id)) as component_id, coalesce(vec_id <= coalesce(c.b, vec_id), true) as kept
 from e left join n on e.vec_id = n.a left join c on e.vec_id = c.a
 """

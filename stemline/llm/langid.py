@@ -203,4 +203,5 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all whole texts of documents: see language_id."""
     return language_id(table(spark, sf_dir, "documents"))

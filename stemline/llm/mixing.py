@@ -45,11 +45,13 @@ def _small(df: DataFrame) -> DataFrame:
 def water_fill(children: DataFrame, parent: list[str], name: str, into: str) -> DataFrame:
     """children(parent..., name, weight, cap, budget) with into: its part of the parent's budget.
 
-    Parts are in proportion to weights. A child that can't hold its part is filled, and
+    Parts are in proportion to weights; a child whose weight is 0 or less gets nothing. A child that can't hold its part is filled, and
     what it lacks goes to its siblings in proportion to theirs. Sorted by
     cap / weight, the filled ones come first, so that one running sum finds the level; no rounds are needed.
     """
     part = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
+    # without weight: as if it could hold nothing, which comes first and takes nothing
+    children = children.withColumn("cap", F.when(F.col("weight") > 0, F.col("cap")).otherwise(0)).withColumn("weight", F.when(F.col("weight") > 0, F.col("weight")).otherwise(1))
     before = part.orderBy(F.col("cap") / F.col("weight"), name).rowsBetween(Window.unboundedPreceding, -1)
     left = F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0))
     weight = F.sum("weight").over(part) - F.coalesce(F.sum("weight").over(before), F.lit(0))
@@ -78,15 +80,16 @@ def budgets(rows: DataFrame, max_epochs: int, share: tuple[int, int], domain_wei
     cap = (F.sum("tokens") * max_epochs).alias("cap")
     total = leaf.agg(F.floor(F.sum("tokens") * share[0] / share[1]).cast("bigint").alias("budget"))
     top = leaf.groupBy("domain").agg(cap).join(F.broadcast(total), F.lit(True)).withColumn("weight", _weight(F.col("domain"), domain_weights))
-    top = water_fill(top, [], "domain", "got").select("domain", F.col("got").alias("budget"))
+    shut = F.col("weight") <= 0
+    top = water_fill(top.withColumn("shut", shut), [], "domain", "got").select("domain", F.col("got").alias("budget"), "shut")
     mid = leaf.groupBy("domain", "lang").agg(cap).join(top, "domain").withColumn("weight", _weight(F.col("lang"), lang_weights))
-    mid = water_fill(mid, ["domain"], "lang", "got").select("domain", "lang", F.col("got").alias("budget"))
+    mid = water_fill(mid.withColumn("shut", F.col("shut") | shut), ["domain"], "lang", "got").select("domain", "lang", F.col("got").alias("budget"), "shut")
     low = leaf.withColumn("cap", F.col("tokens") * max_epochs).join(mid, ["domain", "lang"]).withColumn("weight", _weight(F.col("source"), source_weights))
-    low = water_fill(low, ["domain", "lang"], "source", "target")
+    low = water_fill(low.withColumn("shut", F.col("shut") | shut), ["domain", "lang"], "source", "target")
     some = F.col("tokens") > 0
     return low.select(
-        *LEAF, "docs", "tokens", "target",
-        F.when(some, F.expr("target div nullif(tokens, 0)")).otherwise(1).cast("int").alias("full"),
+        *LEAF, "docs", "tokens", "target", "shut",
+        F.when(some, F.expr("target div nullif(tokens, 0)")).otherwise((~F.col("shut")).cast("int")).cast("int").alias("full"),
         F.when(some, F.expr("target % nullif(tokens, 0)")).otherwise(0).cast("bigint").alias("rest"),
     )
 
@@ -120,16 +123,17 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, sha
     last = placed.join(ends, LEAF).where(F.col("bucket") == F.col("in_bucket"))
     run = F.col("spent") + F.sum("n_tokens").over(Window.partitionBy(*LEAF).orderBy("spin").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     cut = last.withColumn("run", run).where(F.col("run") <= F.col("rest")).groupBy(*LEAF).agg(F.max("spin").alias("in_cut"))
-    cutoff = F.coalesce("in_cut", F.rpad("whole", 32, "g"), F.lit(""))
+    cutoff = F.when(F.col("shut"), F.lit("")).otherwise(F.coalesce("in_cut", F.rpad("whole", 32, "g"), F.lit("")))
     return rows, _small(leaf.join(ends, LEAF).join(cut, LEAF, "left").select(*LEAF, "tokens", "target", "full", cutoff.alias("cutoff")))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """(doc_id, domain, lang, source, n_tokens, target, epochs): how many epochs take the document; 0 leaves it out.
 
-    target is the leaf's token budget. Null languages and sources are names of their own (empty), null ids order as empty ids, null or
+    target is the leaf's token budget. Weights of 0 take the branch out, those without tokens included. Null languages and sources are names of their own (empty), null ids order as empty ids, null or
     empty texts have no tokens; a leaf without tokens is taken once. Documents that repeat an
-    id share their place and are taken or left together. Rounding loses less than a token a node.
+    id share their place and are taken or left together. Rounding loses less than a token a node. Very long texts are counted whole; other columns, but for a domain, are
+    ignored; an empty table gives no rows.
     """
     rows, leaf = plan(docs, id_col, text_col, **how)
     epochs = F.col("full") + (_spin(how.get("seed", SEED)) <= F.col("cutoff")).cast("int")
@@ -139,13 +143,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how)
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """docs with each row as often as epochs take it; its own columns alone, and no shuffle of texts while the leaves are few."""
     _, leaf = plan(docs, id_col, text_col, **how)
-    keyed = docs.select("*", F.struct(*leaf_of(docs)).alias("_leaf"), F.col(id_col).cast("bigint").alias("_id"))
+    names = docs.columns
+    inner = [f"c{k}" for k in range(len(names))]  # whatever the columns are called
+    keyed = docs.select(*[F.col(f"`{c}`") for c in names], F.struct(*leaf_of(docs)), F.col(id_col).cast("bigint")).toDF(*inner, "_leaf", "_id")
     to = leaf.select(F.struct(*LEAF).alias("_key"), F.col("full").alias("_full"), F.col("cutoff").alias("_cutoff"))
     times = F.col("_full") + (_spin(how.get("seed", SEED), "_full", "_id") <= F.col("_cutoff")).cast("int")
-    return keyed.join(to, F.col("_leaf") == F.col("_key")).withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return keyed.join(to, F.col("_leaf") == F.col("_key")).withColumn("_epoch", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*inner).toDF(*names)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epochs of all documents under the default weights: see mix."""
     return mix(table(spark, sf_dir, "documents"))
 
 

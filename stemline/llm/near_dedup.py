@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemline.llm.common import checkpoint
+from stemline.llm.common import checkpoint, drop_rows, meet, row_id
 from stemline.llm.components import connected_components
 from stemline.llm.simhash import SEED, fingerprint, link_fingerprints
 
@@ -61,12 +61,12 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): of a partition sorted by band and id, each id with the first of its band."""
+    """(a, b): of a partition sorted by band and class, each class with the first of its band."""
     band, first = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = batch["band"].to_numpy(), batch["first_id"].to_numpy()
+        key, node = batch["band"].to_numpy(), batch["class"].to_numpy()
         begin = np.r_[key[0] != band, key[1:] != key[:-1]]
         place = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
         to = np.where(place < 0, first, node[place]) if first is not None else node[place]
@@ -111,33 +111,36 @@ def join_similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(first_id, component_id) of a partition of candidate groups, sorted by group and id; single ones are left out."""
-    group, ids, sets = None, [], []
+    """(class, group) of a partition of candidates, sorted by component and class; a group goes by one of its classes, single ones are left out."""
+    component, ids, sets = None, [], []
 
     def found() -> pa.RecordBatch:
         name = join_similar(sets)
-        at = [k for k, j in enumerate(name) if j != k]
-        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.int64()), pa.array([ids[name[k]] for k in at], pa.int64())], names=["first_id", "component_id"])
+        many = np.bincount(name, minlength=len(name))
+        at = [k for k, j in enumerate(name) if many[j] > 1]
+        return pa.RecordBatch.from_arrays([pa.array([ids[k] for k in at], pa.int64()), pa.array([ids[name[k]] for k in at], pa.int64())], names=["class", "group"])
 
     for batch in batches:
-        for g, i, c, t in zip(batch["component"].to_pylist(), batch["first_id"].to_pylist(), batch["class"].to_pylist(), batch["text"]):
-            if g != group:
+        for g, c, t in zip(batch["component"].to_pylist(), batch["class"].to_pylist(), batch["text"]):
+            if g != component:
                 if len(ids) > 1:
                     yield found()
-                group, ids, sets = g, [], []
+                component, ids, sets = g, [], []
             hashes = shingles(t.as_py())
-            if class_of(hashes) == c and len(hashes):  # not another text of a repeated id
-                ids.append(i)
+            if len(hashes):
+                ids.append(c)
                 sets.append(hashes)
     if len(ids) > 1:
         yield found()
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, component_id) of the documents that aren't the smallest id that links reach.
+    """docs with one row for each group of near copies: one with the smallest id that links reach.
 
     A link is a pair of texts whose shingle sets have a Jaccard similarity of SIMILARITY or more. Texts
-    without words are copies of each other. Rows with a null id are left out.
+    without words are copies of each other. A null id comes behind all others. Rows go by id and text, so
+    another text of the same id stays, and of equal rows one does. Texts of any length are read whole; all columns
+    are kept, and an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,27 +149,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sets = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch["doc_id"], pa.array([class_of(s) for s in sets], pa.int64()), pa.array([fingerprint(t or "", WORDS) for t in texts], pa.uint64()).view(pa.int64()),
+                    batch["doc_id"], batch["digest"], pa.array([class_of(s) for s in sets], pa.int64()), pa.array([fingerprint(t or "", WORDS) for t in texts], pa.uint64()).view(pa.int64()),
                     pa.array([bands(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "class", "fp", "bands"],
+                names=["doc_id", "digest", "class", "fp", "bands"],
             )
 
     spark = docs.sparkSession
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = checkpoint(slim.mapInArrow(run, "doc_id bigint, class bigint, fp bigint, bands array<bigint>"))
-    unique = checkpoint(rows.groupBy("class").agg(F.min("doc_id").alias("first_id"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    row, digest = row_id(id_col, text), F.xxhash64(text)
+    slim = docs.select(row.alias("doc_id"), digest.alias("digest"), text.alias("text"))
+    rows = checkpoint(slim.mapInArrow(run, "doc_id bigint, digest bigint, class bigint, fp bigint, bands array<bigint>"))
+    first = F.min(F.struct("doc_id", "digest"))
+    unique = checkpoint(rows.groupBy("class").agg(first.alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = unique.select(F.explode("bands").alias("band"), "first_id").repartition(parts, "band").sortWithinPartitions("band", "first_id")
-    by_fp = unique.where("bands is not null").groupBy("fp").agg(F.min("first_id").alias("node"))
+    met = unique.select(F.explode("bands").alias("band"), "class").repartition(parts, "band").sortWithinPartitions("band", "class")
+    by_fp = unique.where("bands is not null").groupBy("fp").agg(F.min("class").alias("node"))
     links = link_fingerprints(by_fp, BITS)
     for side in "ab":
         links = links.join(by_fp.select(F.col("fp").alias(side), F.col("node").alias(f"id_{side}")), side)
-    same = unique.where("bands is not null").join(by_fp, "fp").where("first_id <> node").select(F.col("node").alias("a"), F.col("first_id").alias("b"))
+    same = unique.where("bands is not null").join(by_fp, "fp").where("class <> node").select(F.col("node").alias("a"), F.col("class").alias("b"))
     candidates = met.mapInArrow(_stars, "a bigint, b bigint").unionByName(same).unionByName(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
     groups = connected_components(candidates.distinct())
-    members = unique.join(groups, F.col("first_id") == F.col("node")).select("component", "first_id", "class")
-    texts = members.join(slim, F.col("first_id") == F.col("doc_id")).select("component", "first_id", "class", "text")
-    verified = checkpoint(texts.repartition(parts, "component").sortWithinPartitions("component", "first_id", "class").mapInArrow(_verified, "first_id bigint, component_id bigint"))
-    named = unique.select(F.col("class").alias("of"), "first_id").join(verified, "first_id", "left").select("of", F.coalesce("component_id", "first_id").alias("component_id"))
-    return rows.join(named, F.col("class") == F.col("of")).where("doc_id <> component_id").select("doc_id", "component_id")
+    members = checkpoint(unique.join(groups, F.col("class") == F.col("node")).select("component", "class", F.col("first.doc_id").alias("i"), F.col("first.digest").alias("d")))
+    texts = members.join(slim, (F.col("i") == F.col("doc_id")) & (F.col("d") == F.col("digest"))).select("component", "class", "text").dropDuplicates(["class"])
+    verified = checkpoint(texts.repartition(parts, "component").sortWithinPartitions("component", "class").mapInArrow(_verified, "class bigint, group bigint"))
+    # of a group the row with the smallest id stays; of the texts in none, each its own class's
+    named = unique.select("class", "first").join(verified, "class", "left").select("class", "first", F.coalesce("group", "class").alias("group"))
+    best = named.groupBy("group").agg(F.min("first").alias("best"))
+    keeps = named.join(best.withColumnRenamed("group", "of"), F.col("group") == F.col("of")).select(F.col("class").alias("c"), F.col("best.doc_id").alias("b_id"), F.col("best.digest").alias("b_digest"))
+    lone = rows.groupBy("class").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select(F.col("class").alias("l"))
+    judged = checkpoint(keeps.join(lone, F.col("c") == F.col("l"), "left").join(unique.select(F.col("class").alias("u"), "first"), F.col("c") == F.col("u")).where(
+        "l is null or b_id <> first.doc_id or b_digest <> first.digest").select("c", "b_id", "b_digest"))
+    found = meet(rows.select("doc_id", "digest", "class"), judged, [("class", "c")], "left").where("b_id is not null")
+    found = checkpoint(found.select(F.col("doc_id").alias("row"), "digest", (F.col("doc_id").eqNullSafe(F.col("b_id")) & F.col("digest").eqNullSafe(F.col("b_digest"))).alias("kept")))
+    again = found.where("kept").groupBy("row", "digest").count().where("count > 1")
+    return drop_rows(docs, row, digest, found.where("not kept").select("row", "digest"), again)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.llm.common import checkpoint, table
+from stemline.llm.common import checkpoint, meet, table
 from stemline.llm.components import connected_components
 
 #: Words in a shingle, XXH64 seed and differing bits of a link: fixed by the contract of the query.
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py() or "", words) for t in batch["text"]), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
 
 
 # ---- the covering code
@@ -224,7 +224,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
 
 
 def link_fingerprints(unique: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): links that join all fingerprints of unique(fp) at most threshold bits apart. threshold may be 0 to 4."""
+    """(a, b): links that join all fingerprints of unique(fp) at most threshold bits apart. threshold may be 0 to 5."""
     if not 0 <= threshold <= 5:
         raise ValueError("three blocks hold one of at most 5 differing bits alone")
     spark = unique.sparkSession
@@ -244,20 +244,25 @@ def link_fingerprints(unique: DataFrame, threshold: int = THRESHOLD) -> DataFram
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each document: the smallest doc_id that links reach.
 
-    Null and wordless texts have fingerprint 0, linked like any other. Rows with a null id are left out; rows that repeat an id
-    are each returned. Equal fingerprints are one class before anything is compared,
+    Null and wordless texts have fingerprint 0, linked like any other. A row with a null id has its fingerprint, links with nothing and has
+    no component; rows that repeat an id are each returned. Texts of any length are read whole; other columns, whatever
+    their names, are ignored; an empty table gives no rows. Equal fingerprints are one class before anything is compared,
     so thousands of copies cost one comparison.
     """
     rows = checkpoint(fingerprints(docs, id_col, text_col, words))
-    unique = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    unique = checkpoint(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")))
     # a class goes by its smallest document, so that the smallest node of a component is its name
     links = link_fingerprints(unique, threshold)
     for side in "ab":
         links = links.join(unique.select(F.col("fp").alias(side), F.col("first_id").alias(f"id_{side}")), side)
     groups = connected_components(links, "id_a", "id_b")
-    classes = unique.join(groups, F.col("first_id") == F.col("node"), "left").select(F.col("fp").alias("class_fp"), F.coalesce("component", "first_id").alias("component_id"))
-    return rows.join(classes, F.col("fp") == F.col("class_fp")).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = unique.join(groups, F.col("first_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "first_id"))
+    # a document alone in its component names it, so that only others meet their rows
+    classes = checkpoint(classes.where("last_id <> component_id").select(F.col("fp").alias("class_fp"), "component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return meet(rows, classes, [("fp", "class_fp")]).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of the fingerprints of all whole texts of documents: see simhash_groups."""
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.llm.common import BROADCAST_IDS, checkpoint, placed, release, table
+from stemline.llm.common import checkpoint, meet, placed, release, table
 
 #: Length of a repeated string.
 LENGTH = 50
@@ -330,19 +330,21 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, int]:
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each document; kept holds the remaining bytes.
 
-    Null texts count as empty. Texts of under 50 bytes lose nothing. Rows with a
-    null id are left out. Rows that repeat an id are one another's equals, not earlier ones. A text that an
-    earlier document equals is removed at once, so that only one of any number of copies is compared.
+    Null texts count as empty. Texts of under 50 bytes lose nothing. A row with a
+    null id is before and behind none: it loses nothing and costs nothing. Rows that repeat an id are one another's equals, not earlier ones. A text that an
+    earlier document equals is removed at once, so that only one of any number of copies is compared. Texts of any length are
+    read whole; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("sha", F.sha2("text", 256))
+    every = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("sha", F.sha2("text", 256))
+    rows, unplaced = every.where("doc_id is not null"), every.where("doc_id is null")
     digest = checkpoint(rows.select("doc_id", "sha", F.octet_length("text").cast("bigint").alias("n_bytes")))
-    least = digest.groupBy("sha").agg(F.min("doc_id").alias("first_id")).select(F.col("sha").alias("of"), "first_id")
-    copies = checkpoint(digest.join(least, F.col("sha") == F.col("of")).where("doc_id > first_id").select("doc_id", "sha", "n_bytes"))
-    drop = copies.select(F.col("doc_id").alias("_i"), F.col("sha").alias("_s")).distinct()
-    if copies.count() <= BROADCAST_IDS // 8:  # 80 bytes a row
-        drop = F.broadcast(drop)
-    firsts = rows.join(drop, (F.col("doc_id") == F.col("_i")) & (F.col("sha") == F.col("_s")), "left_anti")
+    # only texts of several ids meet their rows
+    least = digest.groupBy("sha").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    least = checkpoint(least.select(F.col("sha").alias("of"), "first_id"))
+    copies = checkpoint(meet(digest, least, [("sha", "of")]).where("doc_id > first_id").select("doc_id", "sha", "n_bytes"))
+    drop = checkpoint(copies.select(F.col("doc_id").alias("_i"), F.col("sha").alias("_s")).distinct())
+    firsts = meet(rows, drop, [("doc_id", "_i"), ("sha", "_s")], "left_anti")
     chunks, bits = repeated_spans(firsts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,10 +361,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = chunks.mapInArrow(run, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
     long = F.col("n_bytes") >= LENGTH
     gone = copies.where(long).select("doc_id", "n_bytes", F.col("n_bytes").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"), F.lit("").cast("binary").alias("kept"))
-    short = rows.join(drop, (F.col("doc_id") == F.col("_i")) & (F.col("sha") == F.col("_s")), "left_semi").where(F.octet_length("text") < LENGTH)
+    short = meet(rows, drop, [("doc_id", "_i"), ("sha", "_s")], "left_semi").where(F.octet_length("text") < LENGTH).unionByName(unplaced)
     short = short.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"), F.lit(0).cast("bigint").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.col("text").cast("binary").alias("kept"))
     return found.unionByName(gone).unionByName(short)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is removed of all whole texts of documents: see substring_dedup."""
     return substring_dedup(table(spark, sf_dir, "documents")).drop("kept")

@@ -93,13 +93,13 @@ def _store(uri: str):
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write docs to folder and return the manifest: part, path, first_id, docs, tokens, base, dtype.
 
-    Null texts count as empty and hold the end alone; rows with a null id are left out; documents
-    that repeat an id stand side by side. No rows give no parts. A part is written
+    Null texts count as empty and hold the end alone; null ids stand behind all others, as NO_ID; documents
+    that repeat an id stand side by side. Texts of any length are encoded whole; other columns, whatever their names, are ignored. No rows give no parts. A part is written
     under a name of its own attempt and counts once the manifest, gathered from the attempts that
     succeeded, names it: lost executors and second attempts leave no mixed files.
     """
     spark = docs.sparkSession
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = [int(x) for x in dict.fromkeys(slim.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.2 / parts))] if parts > 1 else []
 
@@ -158,6 +158,10 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str, end_id: int
     return spark.read.parquet(f"{folder}/manifest")
 
 
+#: Stands for a null id in the files.
+NO_ID = (1 << 63) - 1
+
+
 def open_part(path: str, dtype: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(doc_ids, offsets, ids) of a part: memory-mapped on a file system that has maps, else read."""
     store, at = _store(path)
@@ -188,7 +192,7 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return manifest.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "part").mapInArrow(read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint").withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def public_vocabulary() -> str:
@@ -198,6 +202,7 @@ def public_vocabulary() -> str:
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all whole texts of documents, read back: see write_token_files."""
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(table(spark, sf_dir, "documents"), folder, public_vocabulary())
     return read_token_files(spark, folder)

@@ -84,11 +84,12 @@ def test_exact_dedup(which, request):
 
     df = request.getfixturevalue(which)
     groups: dict = {}
-    norm = [(i, re.sub("[\x20\x09-\x0d]+", " ", x or "")) for i, x in rows_of(df) if i is not None]
+    norm = [(i, re.sub("[\x20\x09-\x0d]+", " ", x or "")) for i, x in rows_of(df)]
     for i, x in norm:
         groups.setdefault(x, []).append(i)
-    want = sorted((i, min(groups[x]), len(groups[x]), i == min(groups[x]), hashlib.sha256(x.encode()).hexdigest()) for i, x in norm)
-    assert sorted(tuple(r) for r in exact_dedup.exact_dedup(df).collect()) == want
+    first = {x: min((i for i in ids if i is not None), default=None) for x, ids in groups.items()}
+    want = sorted(((i, first[x], len(groups[x]), i == first[x], hashlib.sha256(x.encode()).hexdigest()) for i, x in norm), key=repr)
+    assert sorted((tuple(r) for r in exact_dedup.exact_dedup(df).collect()), key=repr) == want
 
 
 def test_many_runs(spark):
@@ -106,11 +107,11 @@ def test_token_files(spark, which, request, tmp_path):
     token_files.write_token_files(df, str(tmp_path / "f"), token_files.public_vocabulary())
     got = [tuple(r) for r in token_files.read_token_files(spark, str(tmp_path / "f")).collect()]
     want, base = [], 0
-    for i, x in sorted((r for r in rows_of(df) if r[0] is not None), key=lambda r: r[0]):
+    for i, x in sorted(rows_of(df), key=lambda r: (r[0] is None, r[0])):
         ids = [*t.encode(x or "", add_special_tokens=False).ids, 2]
         want.append((i, base, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         base += len(ids)
-    assert sorted(got) == sorted(want)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
 def plain_fingerprint(text, words=4):
@@ -140,10 +141,11 @@ def components_of(nodes, linked):
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_simhash(which, request):
     df = request.getfixturevalue(which)
-    fp = [(i, plain_fingerprint(x)) for i, x in rows_of(df) if i is not None]
+    every = [(i, plain_fingerprint(x)) for i, x in rows_of(df)]
+    fp = [(i, x) for i, x in every if i is not None]
     linked = [(a, b) for a, x in fp for b, y in fp if a < b and (x ^ y).bit_count() <= 4]
     root = components_of({i for i, _ in fp}, linked)
-    assert sorted(tuple(r) for r in simhash.simhash_groups(df).collect()) == sorted((i, f"{x:016x}", root[i]) for i, x in fp)
+    assert sorted((tuple(r) for r in simhash.simhash_groups(df).collect()), key=repr) == sorted(((i, f"{x:016x}", root.get(i)) for i, x in every), key=repr)
 
 
 def test_links_meet_at_an_anchor():
@@ -185,21 +187,21 @@ def test_components(spark):
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_substring_dedup(which, request):
     df = request.getfixturevalue(which)
-    rows = [(i, (x or "").encode()) for i, x in rows_of(df) if i is not None]
+    rows = [(i, (x or "").encode()) for i, x in rows_of(df)]
     first: dict = {}
     for i, t in rows:
-        for k in range(len(t) - 49):
+        for k in range(len(t) - 49 if i is not None else 0):
             first[t[k : k + 50]] = min(i, first.get(t[k : k + 50], i))
     want = []
     for i, t in rows:
         gone, end = bytearray(len(t)), 0
         for k in range(len(t) - 49):
-            if first[t[k : k + 50]] < i:
+            if i is not None and first[t[k : k + 50]] < i:
                 gone[max(k, end) : k + 50] = b"\1" * (k + 50 - max(k, end))
                 end = k + 50
         kept = bytes(b for b, g in zip(t, gone) if not g)
         want.append((i, len(t), sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)), hashlib.sha256(kept).hexdigest()))
-    assert sorted(tuple(r) for r in substring_dedup.substring_dedup(df).drop("kept").collect()) == sorted(want)
+    assert sorted((tuple(r) for r in substring_dedup.substring_dedup(df).drop("kept").collect()), key=repr) == sorted(want, key=repr)
 
 
 def test_passages_at_any_shift(spark):
@@ -415,11 +417,11 @@ def test_low_nodes_equal_a_plain_tree(spark):
 def brute_links(rows):
     ok = {}
     for n, (i, v, label) in enumerate(rows):
-        if v is not None and label is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v):
+        if i is not None and v is not None and label is not None and len(v) and all(x is not None and math.isfinite(x) for x in v) and any(v):
             ok[n] = (i, np.array(v, np.float64), label)
     linked = [(a, b) for a, (_, x, k) in ok.items() for b, (_, y, m) in ok.items() if a != b and k == m and len(x) == len(y) and x @ y / (np.linalg.norm(x) * np.linalg.norm(y)) >= 0.93]
     n, root = Counter(a for a, _ in linked), components_of({r[0] for r in rows}, [(rows[a][0], rows[b][0]) for a, b in linked])
-    return sorted((r[0], n[k], root[r[0]], r[0] == root[r[0]]) for k, r in enumerate(rows))
+    return sorted(((r[0], n[k], root[r[0]], r[0] == root[r[0]]) for k, r in enumerate(rows)), key=repr)
 
 
 def test_embeddings(spark):
@@ -430,9 +432,10 @@ def test_embeddings(spark):
         v = centre[k % 60] + rng.normal(size=16) * rng.choice([0.0, 0.2, 0.6])
         rows.append((k, np.float32(v).tolist(), k % 2))
     nan, inf = float("nan"), float("inf")
-    rows += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 16, 0), (1003, [nan] * 16, 0), (1004, [inf] + [1.0] * 15, 0), (1005, [None] + [1.0] * 15, 0), (1006, rows[0][1], None), (1007, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0)]
+    rows += [(1000, None, 0), (1001, [], 0), (1002, [0.0] * 16, 0), (1003, [nan] * 16, 0), (1004, [inf] + [1.0] * 15, 0), (1005, [None] + [1.0] * 15, 0), (1006, rows[0][1], None), (1007, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0), (1008, [1.0, 2.0], 0), (None, [1.0, 2.0], 0), (None, [1.0, 2.0], 0)]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumn("members", F.lit("clash"))
-    assert sorted(tuple(r) for r in embedding_dedup.embedding_groups(df).collect()) == brute_links([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for i, v, k in rows])
+    named = df.withColumn("label", F.concat(F.lit("l"), "label"))
+    assert sorted((tuple(r) for r in embedding_dedup.embedding_groups(named).collect()), key=repr) == brute_links([(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v], k) for i, v, k in rows])
     assert embedding_dedup.embedding_groups(df.where("false")).count() == 0
 
 
@@ -674,12 +677,14 @@ def test_pipeline(spark, docs, odd, none):
     assert [n for n, _ in cp.STAGES] == ["language_id", "exact_dedup", "simhash", "mixing", "bpe"]
     told = cp.identify_language(spark, odd, SF)
     assert told.columns == odd.columns and {r.doc_id for r in told.collect()} == {None, 3, 7, 13, 14, 15, 16, 17}
+    unlabelled = cp.identify_language(spark, docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 1, F.col("lang"))), SF).join(docs.select("doc_id", F.col("lang").alias("was")), "doc_id")
+    assert unlabelled.where("lang is null").count() == 0 and unlabelled.where("lang <> was").count() < 0.05 * unlabelled.count()
     once = cp.drop_exact_copies(spark, odd, SF)
     assert {r.doc_id for r in once.collect()} == {None, 3, 9, 12, 13, 15, 16, 17, 11}
     assert once.columns == odd.columns
     near = spark.createDataFrame([(k, " ".join(f"w{j * 7 % 101}" for j in range(400)) + (" end" * (k == 2)), "en", "a") for k in (1, 2)] + [(3, "other words altogether", "en", "a")], "doc_id bigint, text string, lang string, source string")
     assert {r.doc_id for r in cp.drop_near_copies(spark, near, SF).collect()} == {1, 3}
-    for df in (docs, none):
+    for df in (docs, odd, none):
         for name, stage in cp.STAGES:
             out = stage(spark, df, SF)
             assert name == "bpe" or out.columns == df.columns
@@ -688,6 +693,32 @@ def test_pipeline(spark, docs, odd, none):
     assert len(got) > 100
 
 
+def test_rows_go_by_id_and_text(spark, monkeypatch):
+    """A text isn't lost because its id repeats, and of equal rows one stays."""
+    import corpus_pipeline as cp
+    from stemline.llm import common
+
+    rows = [(1, "a a"), (2, "unique text here"), (2, "a  a"), (3, "b"), (3, "b"), (3, "b "), (None, "c"), (None, "c"), (None, "a a"), (4, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_row", F.lit(1)).withColumn("digest", F.lit(2))
+    want = {(1, "a a"), (2, "unique text here"), (3, "b"), (3, "b "), (None, "c"), (4, None)}
+    long = " ".join(f"w{k}" for k in range(90))
+    near = [(1, long), (2, "unique text here"), (2, long + " end"), (3, "b"), (3, "b"), (None, "c"), (None, "c"), (None, long + " other end"), (4, None), (5, "")]
+    for bound in (common.BROADCAST_ROWS, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", bound)
+        got = [(r.doc_id, r.text) for r in cp.drop_exact_copies(spark, df, SF).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        got = [(r.doc_id, r.text) for r in cp.drop_near_copies(spark, spark.createDataFrame(near, "doc_id bigint, text string").withColumn("_row", F.lit(1)), SF).collect()]
+        assert sorted(got, key=repr) == sorted([(1, long), (2, "unique text here"), (3, "b"), (None, "c"), (4, None)], key=repr)
+
+
+def test_weights_of_zero(spark):
+    df = spark.createDataFrame([(k, "w " * (k % 5), ["en", "de"][k % 2], f"src{k % 3}") for k in range(60)], "doc_id bigint, text string, lang string, source string")
+    got = mixing.mix(df, source_weights={"src0": 0}, lang_weights={"en": 0}).collect()
+    assert all((r.epochs == 0) == (r.source == "src0" or r.lang == "en" or r.n_tokens and r.epochs == 0) for r in got)
+    assert {r.epochs for r in got if r.source == "src0" or r.lang == "en"} == {0} and any(r.epochs for r in got)
+    assert {r.epochs for r in mixing.mix(df, source_weights={f"src{k}": 0 for k in range(3)}).collect()} == {0}
+
+
 def test_near_copies_by_similarity(spark):
     """Every pair of five-word similarity 0.8 or more is found, though SimHash alone sees few of them; and no other is."""
     import corpus_pipeline as cp

@@ -3,6 +3,8 @@
 STAGES names its steps. Each takes (spark, docs, sf_dir) and returns a DataFrame; all
 but the last return the columns of docs. run() applies them to documents,
 writing what each returns to the shared folder and reading it again.
+In all stages a row is told by its id and its text, null ids come behind all others, an empty table gives no rows, texts of
+any length are read whole, and extra columns are passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,32 +15,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemline.llm import bpe, exact_dedup, langid, mixing, near_dedup
-from stemline.llm.common import drop_ids, shared_folder
+from stemline.llm.common import shared_folder, unused
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language can be told; those without a letter go."""
-    told = langid.annotate(docs, langid.fit(docs), lang_as="_told", score_as="_told_score")
-    return told.where(F.col("_told") != langid.UNDETERMINED).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Documents of which a language can be told, the told one put in where lang is null.
+
+    Texts that are null or without a letter go, and all do where no row is labelled. A given lang is kept, right or wrong; repeated
+    rows are each kept; of equally likely languages the most frequent one is told.
+    """
+    name, kind = unused(docs, "told"), docs.schema["lang"].dataType
+    told = langid.annotate(docs, langid.fit(docs), lang_as=name, score_as=unused(docs, "told_score")).where(F.col(name) != langid.UNDETERMINED)
+    return told.select(*[F.coalesce("lang", F.col(name).cast(kind)).alias("lang") if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the smallest id."""
-    return drop_ids(docs, exact_dedup.exact_dedup(docs).where(~F.col("kept")))
+    """Of equal texts (null ones are empty) one row with the smallest id, of equal rows one; another text of the same id stays."""
+    return exact_dedup.distinct_texts(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by a similarity of 0.8 or more of their five-word shingles, the document with the smallest id."""
-    return drop_ids(docs, near_dedup.near_copies(docs))
+    """Of texts linked by a similarity of 0.8 or more of their five-word shingles, one row with the smallest id; texts without words are copies of each other."""
+    return near_dedup.near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the epochs of its leaf take it."""
+    """Each row as often as the epochs of its leaf take it; null languages and sources are names of their own, rows that repeat an id go together."""
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and what they decode to, as digests."""
+    """Token ids of each row, and what they decode to, as digests; null texts count as empty."""
     return bpe.bpe_digest(docs)
 
 
@@ -55,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES:

@@ -14,6 +14,13 @@ def rotate_flip_scale(points: DataFrame, angle: float = math.pi / 6, scale: floa
     return points.select("scan_id", "point_id", F.round((x * c - y * s) * scale + shift[0], 4).alias("x"), F.round((x * s + y * c) * scale + shift[1], 4).alias("y"), F.round(F.col("z_cm") * scale + shift[2], 4).alias("z"))
 
 
+def rotate_votes(offsets: DataFrame, angle: float = math.pi / 6, scale: float = 1.05, flip: bool = True) -> DataFrame:
+    """Vote vectors (gx, gy, gz) turned, flipped and scaled as rotate_flip_scale does with the points; they aren't shifted."""
+    x, y = F.col("gx") * (-1 if flip else 1), F.col("gy")
+    c, s = math.cos(angle), math.sin(angle)
+    return offsets.select("scan_id", "point_id", F.round((x * c - y * s) * scale, 6).alias("gx"), F.round((x * s + y * c) * scale, 6).alias("gy"), F.round(F.col("gz") * scale, 6).alias("gz"))
+
+
 def align(points: DataFrame, m) -> DataFrame:
     """Coordinates under a 4 x 4 matrix."""
     at = lambda r: F.round(F.col("x_cm") * m[r][0] + F.col("y_cm") * m[r][1] + F.col("z_cm") * m[r][2] + m[r][3], 6)

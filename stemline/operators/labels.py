@@ -51,16 +51,14 @@ def vote_offsets(points: DataFrame, size: int = 20) -> DataFrame:
     return main.join(centre, ["scan_id", "instance_gt"]).select(*VOXEL, "instance_gt", *[F.round(F.col("m" + a) - F.col("s" + a) / F.col("n"), 6).alias("o" + a) for a in "xyz"])
 
 
-def tile_votes(points: DataFrame, radius: int = 1600, step: int = 400) -> DataFrame:
-    """Class that most tiles vote for, point by point; -1 without a vote.
+def tile_votes(points: DataFrame, votes: DataFrame, classes: int = 3, first_seen: bool = False) -> DataFrame:
+    """Class that most tiles vote for, votes(scan_id, point_id, region_id, vote), point by point; -1 without a vote.
 
-    A tile's vote stands in for its network's answer: the point's predicted class, moved on by one on tiles whose id is a
-    multiple of five. Votes are counted class by class in one aggregate.
+    Votes are counted class by class in one aggregate. Ties go to the smaller class, or to the one that the tile with the smallest id votes for (first_seen).
     """
-    member = tile_membership(points, radius, step).join(points.select("scan_id", "point_id", "semantic_pred"), ["scan_id", "point_id"])
-    vote = F.when(F.col("region_id") % 5 == 0, (F.col("semantic_pred") + 1) % 3).otherwise(F.col("semantic_pred"))
-    n = member.withColumn("v", vote).groupBy("scan_id", "point_id").agg(*[F.count_if(F.col("v") == c).alias(f"n{c}") for c in (0, 1, 2)])
-    best = F.when((F.col("n0") >= F.col("n1")) & (F.col("n0") >= F.col("n2")), 0).when(F.col("n1") >= F.col("n2"), 1).otherwise(2)
+    n = votes.groupBy("scan_id", "point_id").agg(*[F.count_if(F.col("vote") == c).alias(f"n{c}") for c in range(classes)], *[F.min(F.when(F.col("vote") == c, F.col("region_id"))).alias(f"r{c}") for c in range(classes)])
+    rank = [F.struct(F.col(f"n{c}").alias("n"), (-F.col(f"r{c}") if first_seen else F.lit(-c)).cast("bigint").alias("r"), F.lit(c).alias("c")) for c in range(classes)]
+    best = F.greatest(*rank)["c"]
     return points.select("scan_id", "point_id").join(n.withColumn("voted", best), ["scan_id", "point_id"], "left").select("scan_id", "point_id", F.coalesce("voted", F.lit(-1)).alias("semantic"))
 
 

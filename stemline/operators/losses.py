@@ -68,31 +68,36 @@ def discriminative_loss(vectors: DataFrame, pull: float = 0.5, push: float = 1.5
     return var.join(far, F.lit(True)).join(size, F.lit(True)).select(F.round("pull", 6).alias("pull"), F.round("push", 6).alias("push"), F.round("norm", 6).alias("norm"))
 
 
-def offset_loss(points: DataFrame) -> DataFrame:
-    """L1 distance and negative cosine of stand-in offsets against true ones, over tree points."""
-    c = points.where("instance_gt > 0").groupBy("scan_id", "instance_gt").agg(*[(F.sum(a) / F.count(F.lit(1))).alias("m" + a[0]) for a in ("x_cm", "y_cm", "z_cm")])
-    p = points.where("instance_gt > 0").join(c, ["scan_id", "instance_gt"])
-    g = [F.col("m" + a) - F.col(f"{a}_cm") for a in "xyz"]
-    q = [g[0] + 10, g[1] - 5, g[2] * 0.5]
+def offset_loss(offsets: DataFrame) -> DataFrame:
+    """L1 distance and negative cosine of offsets(scan_id, px, py, pz, gx, gy, gz), predicted against true."""
+    p, g, q = offsets, [F.col("g" + a) for a in "xyz"], [F.col("p" + a) for a in "xyz"]
     l1 = sum(F.abs(a - b) for a, b in zip(q, g))
     size = lambda v: F.sqrt(sum(a * a for a in v))
     cosine = sum(a * b for a, b in zip(q, g)) / (size(q) + 1e-8) / (size(g) + 1e-8)
     return p.groupBy("scan_id").agg(F.round(F.avg(l1), 4).alias("l1"), F.round(-F.avg(cosine), 4).alias("direction"))
 
 
-def focal_loss(points: DataFrame) -> DataFrame:
-    """Focal loss of stand-in heat against true centres of classes."""
-    o = (10 + F.col("point_id") % 80) / 100.0
-    t = F.col("score_pct") / 100.0
+def focal_loss(heat: DataFrame, centre: float = 0.95) -> DataFrame:
+    """Focal loss of heat(scan_id, heat, target); targets of at least `centre` are centres."""
+    o, t = F.col("heat"), F.col("target")
     neg = F.log(1 - o) * F.pow(o, F.lit(3.0)) * F.pow(1 - t, F.lit(6.0))
-    pos = F.when(F.col("score_pct") >= 95, F.log(o) * F.pow(1 - o, F.lit(3.0))).otherwise(0.0)
-    return points.groupBy("scan_id").agg(F.round(-(F.sum(neg) + F.sum(pos)) / F.greatest(F.count_if(F.col("score_pct") >= 95), F.lit(1)), 4).alias("focal"))
+    pos = F.when(t >= centre, F.log(o) * F.pow(1 - o, F.lit(3.0))).otherwise(0.0)
+    return heat.groupBy("scan_id").agg(F.round(-(F.sum(neg) + F.sum(pos)) / F.greatest(F.count_if(t >= centre), F.lit(1)), 4).alias("focal"))
+
+
+def cropped_iou(mask_points: DataFrame, points: DataFrame, ratios: DataFrame) -> DataFrame:
+    """(scan_id, mask_id, instance_gt, iou): soft IoU of masks, whose points have probabilities p, with the true trees they meet, each tree's area put right for the part of it, ratios(scan_id, instance_gt, ratio), that the crop holds."""
+    tree = points.where("instance_gt > 0").select("scan_id", "point_id", "instance_gt")
+    size = tree.groupBy("scan_id", "instance_gt").agg(F.count(F.lit(1)).alias("g_n")).join(ratios, ["scan_id", "instance_gt"])
+    mass = mask_points.groupBy("scan_id", "mask_id").agg(F.sum("p").alias("p_sum"))
+    hit = mask_points.join(tree, ["scan_id", "point_id"]).groupBy("scan_id", "mask_id", "instance_gt").agg(F.sum("p").alias("hit"))
+    both = hit.join(mass, ["scan_id", "mask_id"]).join(size, ["scan_id", "instance_gt"])
+    return both.select("scan_id", "mask_id", "instance_gt", F.round(F.col("hit") / (F.col("g_n") / F.col("ratio") + F.col("p_sum") - F.col("hit") + 1e-6), 6).alias("iou"))
 
 
 def mask_costs(mask_points: DataFrame, points: DataFrame) -> DataFrame:
-    """Dice and cross-entropy of each scored mask against each true tree that it meets, on stand-in mask values."""
-    p = (10 + (F.col("point_id") * 31 + F.col("mask_id") * 17) % 90) / 100.0
-    held = mask_points.withColumn("p", p)
+    """Dice and cross-entropy of each scored mask against each true tree that it meets; mask_points has the probabilities p."""
+    held = mask_points
     mass = held.groupBy("scan_id", "mask_id").agg(F.sum("p").alias("p_sum"), F.sum(F.log(1 - F.col("p") * 0.99)).alias("off"), F.count(F.lit(1)).alias("n"))
     tree = points.where("instance_gt > 0").select("scan_id", "point_id", "instance_gt")
     size = tree.groupBy("scan_id", "instance_gt").agg(F.count(F.lit(1)).alias("g_n"))

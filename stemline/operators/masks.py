@@ -16,15 +16,10 @@ def top_masks(masks: DataFrame, k: int = 30) -> DataFrame:
     return masks.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def soft_points(mask_points: DataFrame) -> DataFrame:
-    """mask_points with a stand-in for the network's mask value, in percent."""
-    return mask_points.withColumn("p", 10 + (F.col("point_id") * 31 + F.col("mask_id") * 17) % 90)
-
-
 def objectness(mask_points: DataFrame, masks: DataFrame, least: int = 30) -> DataFrame:
-    """Score times the mean value of a mask's points above `least` percent."""
+    """Score times the mean value of a mask's points above `least`; mask_points has the values p, in percent."""
     some = F.col("p") > least
-    one = soft_points(mask_points).groupBy(*KEY).agg(F.sum(F.when(some, F.col("p")).otherwise(0)).alias("s"), F.count_if(some).alias("n"))
+    one = mask_points.groupBy(*KEY).agg(F.sum(F.when(some, F.col("p")).otherwise(0)).alias("s"), F.count_if(some).alias("n"))
     return masks.join(one, KEY).select(*KEY, F.round(F.col("score_pct") / 100 * (F.col("s") / 100) / (F.col("n") + 1e-6), 6).alias("score"))
 
 
@@ -47,12 +42,19 @@ def iou_pairs(mask_points: DataFrame, masks: DataFrame) -> DataFrame:
     return out.select("scan_id", "a", "b", "shared", F.round(s / (F.col("n_a") + F.col("n_b") - s), 6).alias("iou"), F.round(s / F.col("n_a"), 6).alias("of_a"), F.round(s / F.col("n_b"), 6).alias("of_b"))
 
 
-def matrix_nms(mask_points: DataFrame, masks: DataFrame, kernel: str = "linear", sigma: float = 2.0) -> DataFrame:
-    """Scores decayed by the IoU with better masks, each compensated by that mask's own best overlap; closed form, no order of passes."""
+def matrix_nms(mask_points: DataFrame, masks: DataFrame, kernel: str = "linear", sigma: float = 2.0, label: str | None = None, first: int | None = None, least: float | None = None, most: int | None = None) -> DataFrame:
+    """Scores decayed by the IoU with better masks, each compensated by that mask's own best overlap; closed form, no order of passes.
+
+    label: masks of different labels leave each other alone. first: only so many best masks of a scan take part. least: decayed scores have to exceed it. most: so many are
+    returned of a scan. Pairs come from the masks of each point: their number is bounded by what the masks of a point make, not by all masks of a scan.
+    """
     rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("score_pct"), "mask_id"))
-    ranked = masks.withColumn("rank", rank)
-    r = ranked.select("scan_id", "mask_id", "rank", "n_points")
-    pair = overlaps(mask_points).join(r.toDF("scan_id", "a", "ra", "na"), ["scan_id", "a"]).join(r.toDF("scan_id", "b", "rb", "nb"), ["scan_id", "b"])
+    ranked = masks.withColumn("rank", rank).withColumn("_label", F.col(label) if label else F.lit(0))
+    if first is not None:
+        ranked = ranked.where(F.col("rank") <= first)
+        mask_points = mask_points.join(ranked.select(*KEY), KEY, "left_semi")
+    r = ranked.select("scan_id", "mask_id", "rank", "n_points", "_label")
+    pair = overlaps(mask_points).join(r.toDF("scan_id", "a", "ra", "na", "la"), ["scan_id", "a"]).join(r.toDF("scan_id", "b", "rb", "nb", "lb"), ["scan_id", "b"]).where(F.col("la") == F.col("lb"))
     iou = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
     pair = pair.select("scan_id", F.least("ra", "rb").alias("i"), F.greatest("ra", "rb").alias("j"), iou.alias("iou"))
     own = pair.groupBy("scan_id", F.col("j").alias("i")).agg(F.max("iou").alias("own"))
@@ -64,14 +66,38 @@ def matrix_nms(mask_points: DataFrame, masks: DataFrame, kernel: str = "linear",
     # where own is 1 the decay is undefined; such a mask is a copy of a better one and doesn't count
     low = pair.where("own < 1").groupBy("scan_id", F.col("j").alias("rank")).agg(F.min(decay).alias("decay"))
     # masks that share no point with a better one decay by the best of what the others compensate
-    return ranked.join(low, ["scan_id", "rank"], "left").select(*KEY, F.round(F.col("score_pct") / 100 * F.least(F.coalesce("decay", F.lit(1.0)), F.lit(1.0)), 6).alias("score"))
+    out = ranked.join(low, ["scan_id", "rank"], "left").select(*KEY, F.round(F.col("score_pct") / 100 * F.least(F.coalesce("decay", F.lit(1.0)), F.lit(1.0)), 6).alias("score"))
+    if least is not None:
+        out = out.where(F.col("score") > least)
+    if most is not None:
+        out = out.withColumn("turn", F.row_number().over(Window.partitionBy("scan_id").orderBy(F.desc("score"), "mask_id"))).where(F.col("turn") <= most).drop("turn")
+    return out
+
 
+def predict(mask_points: DataFrame, masks: DataFrame, points: DataFrame, centres: DataFrame | None, k: int = 40, label: str | None = "label", nms: bool = True, threshold: float = 0.6, score: float = 0.05, least: int = 10) -> DataFrame:
+    """(scan_id, mask_id, score, n_points): the masks of a network's answer that are handed on, in the steps of the post-processor.
 
-def edge_filter(mask_points: DataFrame, points: DataFrame, radius: int = 1600, margin: int = 50, centre=(3200, 3200)) -> DataFrame:
-    """Masks without a point farther than radius - margin from the tile's centre."""
-    dx, dy = F.col("x_cm") - centre[0], F.col("y_cm") - centre[1]
-    far = points.select("scan_id", "point_id", (dx * dx + dy * dy).alias("d2"))
-    return mask_points.join(far, ["scan_id", "point_id"]).groupBy(*KEY).agg(F.max("d2").alias("d2")).where(F.col("d2") <= (radius - margin) ** 2).select(*KEY)
+    The k best of a scan, scores times mean mask value, matrix suppression within a label, values over the threshold, least score and size, and no
+    point at the edge of the tile. mask_points has the values p. centres None: no edge test (whole scans); nms False: none.
+    """
+    top = top_masks(masks, k).drop("rank")
+    held = mask_points.join(top.select(*KEY), KEY, "left_semi")
+    told = objectness(held, top)
+    if nms:
+        sized = top.drop("score_pct").join(told.select(*KEY, (F.col("score") * 100).alias("score_pct")), KEY)
+        told = matrix_nms(held.select("scan_id", "mask_id", "point_id"), sized, label=label)
+    told = told.where(F.col("score") > score)
+    hard = binarise(held.join(told.select(*KEY), KEY, "left_semi"), threshold)
+    size = hard.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_points")).where(F.col("n_points") > least)
+    out = told.join(size, KEY).select(*KEY, "score", "n_points")
+    return out if centres is None else out.join(edge_filter(hard, points, centres), KEY, "left_semi")
+
+
+def edge_filter(mask_points: DataFrame, points: DataFrame, centres: DataFrame, radius: int = 1600, margin: int = 50) -> DataFrame:
+    """Masks without a point farther than radius - margin from the centre of their tile, centres(scan_id, mask_id, cx, cy)."""
+    dx, dy = F.col("x_cm") - F.col("cx"), F.col("y_cm") - F.col("cy")
+    held = mask_points.join(centres, KEY).join(points.select("scan_id", "point_id", "x_cm", "y_cm"), ["scan_id", "point_id"])
+    return held.groupBy(*KEY).agg(F.max(dx * dx + dy * dy).alias("d2")).where(F.col("d2") <= (radius - margin) ** 2).select(*KEY)
 
 
 def stuff_majority_filter(mask_points: DataFrame, masks: DataFrame, points: DataFrame) -> DataFrame:
@@ -92,9 +118,9 @@ def size_score_filter(masks: DataFrame, score: int = 40, least: int = 10) -> Dat
 
 
 def binarise(mask_points: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Points of masks whose sigmoid value exceeds the threshold."""
+    """Points of masks whose sigmoid value exceeds the threshold; mask_points has the values p, in percent, of which 50 is even."""
     logit = (F.col("p") - 50) / 20.0
-    return soft_points(mask_points).where(1 / (1 + F.exp(-logit)) > threshold).select(*KEY, "point_id")
+    return mask_points.where(1 / (1 + F.exp(-logit)) > threshold).select(*KEY, "point_id")
 
 
 def argmax_mask(mask_points: DataFrame, masks: DataFrame) -> DataFrame:

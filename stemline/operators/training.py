@@ -15,10 +15,10 @@ def batch_offsets(points: DataFrame, size: int = 20) -> DataFrame:
     return n.select("scan_id", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
 
 
-def pooled(points: DataFrame, size: int = 100) -> DataFrame:
-    """Mean features of a voxel: the score, and the offset from the scan's middle."""
+def pooled(points: DataFrame, features: list[F.Column], size: int = 100) -> DataFrame:
+    """Means f0, f1, ... of features over a voxel."""
     cell = with_voxels(points, size).groupBy("scan_id", "vx", "vy", "vz")
-    return cell.agg(F.round(F.sum("score_pct") / F.count(F.lit(1)), 6).alias("f0"), F.round(F.sum(F.col("x_cm") - 3200) / F.count(F.lit(1)), 6).alias("f1"), F.round(F.sum(F.col("y_cm") - 3200) / F.count(F.lit(1)), 6).alias("f2"))
+    return cell.agg(*[F.round(F.sum(f) / F.count(F.lit(1)), 6).alias(f"f{k}") for k, f in enumerate(features)])
 
 
 def padded_voxel_sample(points: DataFrame, size: int = 300, voxels: int = 40, per_voxel: int = 5) -> DataFrame:
@@ -42,8 +42,8 @@ def patches(points: DataFrame, size: int = 800, least_occupied: int = 20, least_
 
 
 def instance_ordinals(masks: DataFrame, least: int = 20) -> DataFrame:
-    """Masks that are saved on their own: score at least `least`, numbered within their label (here: the id modulo 4)."""
-    some = masks.where(F.col("score_pct") >= least).withColumn("label", (F.col("mask_id") % 4).cast("int"))
+    """masks(scan_id, mask_id, label, score_pct) that are saved on their own: score at least `least`, numbered within their label."""
+    some = masks.where(F.col("score_pct") >= least)
     order = Window.partitionBy("scan_id", "label").orderBy("mask_id")
     return some.select("scan_id", "mask_id", "label", (F.row_number().over(order) - 1).alias("ordinal"))
 
@@ -55,15 +55,14 @@ def loss_sum(losses: DataFrame) -> DataFrame:
 
 
 def mask_loss(mask_points: DataFrame, matches: DataFrame, points: DataFrame) -> DataFrame:
-    """Cross-entropy of stand-in mask values against the best true tree, over masks whose best IoU exceeds one half."""
+    """Cross-entropy of mask values, the probabilities p of mask_points, against the best true tree, over masks whose best IoU exceeds one half."""
     best = matches.groupBy("scan_id", "mask_id").agg(F.max_by(F.struct("instance_gt", "iou"), F.struct(F.col("iou"), -F.col("instance_gt"))).alias("b")).select("scan_id", "mask_id", F.col("b.instance_gt").alias("best"), F.col("b.iou").alias("iou")).where("iou > 0.5")
-    p = (10 + (F.col("point_id") * 31 + F.col("mask_id") * 17) % 90) / 100.0 * 0.99
+    p = F.col("p") * 0.99
     rows = mask_points.join(best, ["scan_id", "mask_id"]).join(points.select("scan_id", "point_id", "instance_gt"), ["scan_id", "point_id"])
     return rows.groupBy("scan_id").agg(F.round(F.avg(F.when(F.col("instance_gt") == F.col("best"), -F.log(p)).otherwise(-F.log(1 - p))), 5).alias("loss"), F.count(F.lit(1)).alias("n"))
 
 
-def semantic_decode(points: DataFrame) -> DataFrame:
-    """Class of the largest of three stand-in class values of a point; ties go to the smaller class."""
-    v = [(F.col("point_id") * m + F.col("z_cm")) % 97 for m in (13, 29, 47)]
-    best = F.greatest(*v)
-    return points.select("scan_id", "point_id", F.when(v[0] == best, 0).when(v[1] == best, 1).otherwise(2).alias("semantic"))
+def semantic_decode(points: DataFrame, values: list[str]) -> DataFrame:
+    """Number of the largest of a point's class values (columns); ties go to the smaller class."""
+    best = F.greatest(*values)
+    return points.select("scan_id", "point_id", F.coalesce(*[F.when(F.col(v) == best, k) for k, v in enumerate(values)]).alias("semantic"))

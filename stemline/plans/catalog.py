@@ -166,7 +166,7 @@ _TILE = _REG + """, tm as (select p.scan_id, point_id, region_id, cast((x_cm - c
   and x_cm between cx - 1600 and cx + 1600 and y_cm between cy - 1600 and cy + 1600 and (x_cm - cx) * (x_cm - cx) + (y_cm - cy) * (y_cm - cy) <= 2560000)"""
 on_points("tile_membership", geo.tile_membership, _TILE + " select scan_id, point_id, region_id, d2 from tm")
 on_points(
-    "tile_vote_semantic", labels.tile_votes,
+    "tile_vote_semantic", lambda p: labels.tile_votes(p, views.tile_answers(geo.tile_membership(p), p)),
     _TILE + """, vo as (select scan_id, point_id, case when region_id % 5 = 0 then (semantic_pred + 1) % 3 else semantic_pred end as v, count(*) as n from tm group by all),
 be as (select scan_id, point_id, arg_max(v, n * 10 - v) as s from vo group by all)
 select p.scan_id, p.point_id, cast(coalesce(s, -1) as int) as semantic from points p left join be on p.scan_id = be.scan_id and p.point_id = be.point_id""",
@@ -237,7 +237,7 @@ on_points("assigned_only", lambda p: p.where("instance_pred <> -1").select("scan
 
 on_masks("topk_masks", lambda mp, m, p: masks.top_masks(m), " select * from (select *, cast(row_number() over (partition by scan_id order by score_pct desc, mask_id) as int) as rank from masks) where rank <= 30")
 _SOFT = ", so as (select *, 10 + (point_id * 31 + mask_id * 17) % 90 as p from mask_points)"
-on_masks("objectness", lambda mp, m, p: masks.objectness(mp, m), _SOFT + " select scan_id, mask_id, round(any_value(score_pct) / 100 * (coalesce(sum(p) filter (p > 30), 0) / 100) / (count(*) filter (p > 30) + 1e-6), 6) as score from so join masks using (scan_id, mask_id) group by scan_id, mask_id")
+on_masks("objectness", lambda mp, m, p: masks.objectness(views.soft_points(mp), m), _SOFT + " select scan_id, mask_id, round(any_value(score_pct) / 100 * (coalesce(sum(p) filter (p > 30), 0) / 100) / (count(*) filter (p > 30) + 1e-6), 6) as score from so join masks using (scan_id, mask_id) group by scan_id, mask_id")
 _OV = """, ov as (select a.scan_id, a.mask_id as a, b.mask_id as b, count(*) as shared from mask_points a join mask_points b on a.scan_id = b.scan_id and a.point_id = b.point_id and a.mask_id < b.mask_id group by all),
 io as (select ov.scan_id, a, b, shared, round(shared / (x.n_points + y.n_points - shared), 6) as iou, round(shared / x.n_points, 6) as of_a, round(shared / y.n_points, 6) as of_b
   from ov join masks x on ov.scan_id = x.scan_id and a = x.mask_id join masks y on ov.scan_id = y.scan_id and b = y.mask_id)"""
@@ -254,11 +254,11 @@ pd as (select pa.scan_id, pa.j, iou, coalesce(own, 0) as own from pa left join o
 dc as (select scan_id, j, min({_dec}) as decay from pd where own < 1 group by all)
 select rk.scan_id, mask_id, round(score_pct / 100 * least(coalesce(decay, 1), 1), 6) as score from rk left join dc on rk.scan_id = dc.scan_id and rk.rank = dc.j""",
     )
-on_masks("edge_filter", lambda mp, m, p: masks.edge_filter(mp, p), " select mp.scan_id, mask_id from mask_points mp join points using (scan_id, point_id) group by all having max((x_cm - 3200) * (x_cm - 3200) + (y_cm - 3200) * (y_cm - 3200)) <= 2402500")
+on_masks("edge_filter", lambda mp, m, p: masks.edge_filter(mp, p, views.centres(m)), " select mp.scan_id, mask_id from mask_points mp join points using (scan_id, point_id) group by all having max((x_cm - (1600 + mask_id // 4 % 3 * 1600)) * (x_cm - (1600 + mask_id // 4 % 3 * 1600)) + (y_cm - 3200) * (y_cm - 3200)) <= 2402500")
 on_masks("stuff_majority_filter", lambda mp, m, p: masks.stuff_majority_filter(mp, m, p), ", s as (select mp.scan_id, mask_id, count(*) filter (semantic_pred = 0) as st, count(*) as n from mask_points mp join points using (scan_id, point_id) group by all) select scan_id, mask_id, cast(case when 2 * st > n then 0 else score_pct end as int) as score_pct from masks join s using (scan_id, mask_id)")
 on_masks("height_filter", lambda mp, m, p: masks.height_filter(mp, m, p), ", tp as (select scan_id, max(z_cm) as top from points where semantic_pred = 0 group by all), lo as (select mp.scan_id, mask_id, min(z_cm) as low from mask_points mp join points using (scan_id, point_id) group by all) select scan_id, mask_id, cast(case when low > top + 500 then 0 else score_pct end as int) as score_pct from masks join lo using (scan_id, mask_id) left join tp using (scan_id)")
 on_masks("size_score_filter", lambda mp, m, p: masks.size_score_filter(m), " select scan_id, mask_id from masks where score_pct > 40 and n_points > 10")
-on_masks("mask_binarise", lambda mp, m, p: masks.binarise(mp), _SOFT + " select scan_id, mask_id, point_id from so where 1 / (1 + exp(-(p - 50) / 20.0)) > 0.6")
+on_masks("mask_binarise", lambda mp, m, p: masks.binarise(views.soft_points(mp)), _SOFT + " select scan_id, mask_id, point_id from so where 1 / (1 + exp(-(p - 50) / 20.0)) > 0.6")
 _AM = ", am as (select scan_id, point_id, arg_max(mask_id, score_pct * 1000000 - mask_id) as mask_id from mask_points join masks using (scan_id, mask_id) group by all)"
 on_masks("argmax_mask_per_point", lambda mp, m, p: masks.argmax_mask(mp, m), _AM + " select scan_id, point_id, mask_id from am")
 on_masks("mask_semijoin", lambda mp, m, p: masks.surviving_masks(mp, m), _AM + " select scan_id, mask_id, score_pct from masks m where exists (select 1 from am where am.scan_id = m.scan_id and am.mask_id = m.mask_id)")
@@ -292,23 +292,23 @@ select round((select pull from pl), 6) as pull, round((select avg(gap * gap) fro
 _on(("embeddings",), "vector_functions", lambda e: e.select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"), F.round(V.dot(F.col("embedding"), F.reverse("embedding")), 6).alias("dot"), F.round(F.get(V.softmax(F.col("embedding")), F.lit(0)), 6).alias("soft"), F.round(V.sigmoid(F.get("embedding", F.lit(0)).cast("double")), 6).alias("sig")),
     "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm, round(list_sum(list_transform(range(1, len(embedding) + 1), lambda i: embedding[i]::double * embedding[len(embedding) + 1 - i]::double)), 6) as dot, round(exp(embedding[1]::double - list_max(embedding)) / list_sum(list_transform(embedding, lambda x: exp(x::double - list_max(embedding)))), 6) as soft, round(1 / (1 + exp(-embedding[1]::double)), 6) as sig from embeddings", True)
 on_points("minmax_scores", losses.minmax_scores, ", r as (select *, min(score_pct) over (partition by scan_id, instance_pred) as lo, max(score_pct) over (partition by scan_id, instance_pred) as hi from points where instance_pred >= 0) select scan_id, point_id, round(case when hi > lo then (score_pct - lo) / (hi - lo) else 1.0::double end, 6) as score from r")
-on_points("offset_loss", losses.offset_loss, """, c as (select scan_id, instance_gt, sum(x_cm) / count(*) as mx, sum(y_cm) / count(*) as my, sum(z_cm) / count(*) as mz from points where instance_gt > 0 group by all),
+on_points("offset_loss", lambda p: losses.offset_loss(views.offsets(p)), """, c as (select scan_id, instance_gt, sum(x_cm) / count(*) as mx, sum(y_cm) / count(*) as my, sum(z_cm) / count(*) as mz from points where instance_gt > 0 group by all),
 g as (select p.scan_id, mx - x_cm as a, my - y_cm as b, mz - z_cm as c from points p join c on p.scan_id = c.scan_id and p.instance_gt = c.instance_gt),
 q as (select *, a + 10 as qa, b - 5 as qb, c * 0.5::double as qc from g)
 select scan_id, round(avg(abs(qa - a) + abs(qb - b) + abs(qc - c)), 4) as l1, round(-avg((qa * a + qb * b + qc * c) / (sqrt(qa * qa + qb * qb + qc * qc) + 1e-8) / (sqrt(a * a + b * b + c * c) + 1e-8)), 4) as direction from q group by scan_id""")
-on_points("focal_loss", losses.focal_loss, """, o as (select *, (10 + point_id % 80) / 100 as o, score_pct / 100 as t from points)
+on_points("focal_loss", lambda p: losses.focal_loss(views.heat(p)), """, o as (select *, (10 + point_id % 80) / 100 as o, score_pct / 100 as t from points)
 select scan_id, round(-(sum(ln(1 - o) * pow(o, 3) * pow(1 - t, 6)) + sum(case when score_pct >= 95 then ln(o) * pow(1 - o, 3) else 0 end)) / greatest(count(*) filter (score_pct >= 95), 1), 4) as focal from o group by scan_id""")
 _COST = """, h as (select *, ((10 + (point_id * 31 + mask_id * 17) % 90) / 100)::double as p from mask_points),
 ms as (select scan_id, mask_id, sum(p) as p_sum, sum(ln(1 - p * 0.99::double)) as off, count(*) as n from h group by all),
 gn as (select scan_id, instance_gt, count(*) as g_n from points where instance_gt > 0 group by all),
 bo as (select h.scan_id, mask_id, instance_gt, sum(p) as hit, sum(ln(p) - ln(1 - p * 0.99::double)) as gain from h join points using (scan_id, point_id) where instance_gt > 0 group by all),
 co as (select scan_id, mask_id, instance_gt, round(1 - (2 * hit + 1) / (p_sum + g_n + 1), 6) as dice, round(-(off + gain) / n, 6) as bce from bo join ms using (scan_id, mask_id) join gn using (scan_id, instance_gt))"""
-on_masks("dice_bce_cost", lambda mp, m, p: losses.mask_costs(mp, p), _COST + " select * from co")
+on_masks("dice_bce_cost", lambda mp, m, p: losses.mask_costs(views.mask_values(mp), p), _COST + " select * from co")
 on_masks("iou_losses", lambda mp, m, p: losses.iou_losses(metrics.mask_matches(mp, p.where("instance_gt > 0")), m), _MATCH + """, be as (select scan_id, mask_id, max(iou) as iou from ma group by all), s as (select be.scan_id, iou, score_pct / 100 as s, greatest(least((iou - 0.25) / 0.5, 1), 0) as r from be join masks using (scan_id, mask_id))
 select scan_id, round(avg(-(r * ln(s) + (1 - r) * ln(1 - s * 0.999))), 5) as ramp, round(coalesce(sum((s - iou) * (s - iou)) filter (iou >= 0.5), 0) / greatest(count(*) filter (iou >= 0.5), 1), 5) as mse, round(avg(-(iou * ln(s) + (1 - iou) * ln(1 - s * 0.999))), 5) as bce from s group by scan_id""")
 on_masks("one_to_many", lambda mp, m, p: losses.one_to_many(mp, p, m), ", q as (select scan_id, mask_id, min(point_id) as point_id from mask_points group by all) select q.scan_id, mask_id, case when instance_gt > 0 then instance_gt else -1 end as instance_gt from q join points using (scan_id, point_id)")
-on_masks("sparse_match", lambda mp, m, p: losses.sparse_matches(losses.mask_costs(mp, p)), _COST + ", rk as (select *, row_number() over (partition by scan_id, instance_gt order by dice, mask_id) as k from co) select scan_id, instance_gt, mask_id from rk a where k <= 2 and not exists (select 1 from rk b where b.scan_id = a.scan_id and b.instance_gt = a.instance_gt and b.k = 3 and b.dice <= a.dice)")
-on_masks("hungarian", lambda mp, m, p: losses.hungarian(losses.mask_costs(mp, p)))
+on_masks("sparse_match", lambda mp, m, p: losses.sparse_matches(losses.mask_costs(views.mask_values(mp), p)), _COST + ", rk as (select *, row_number() over (partition by scan_id, instance_gt order by dice, mask_id) as k from co) select scan_id, instance_gt, mask_id from rk a where k <= 2 and not exists (select 1 from rk b where b.scan_id = a.scan_id and b.instance_gt = a.instance_gt and b.k = 3 and b.dice <= a.dice)")
+on_masks("hungarian", lambda mp, m, p: losses.hungarian(losses.mask_costs(views.mask_values(mp), p)))
 _on(("embeddings",), "fps", lambda e: geo.farthest_points(e, "label", "vec_id", "embedding", 5), None)
 
 # ---- augmentation and range
@@ -348,12 +348,14 @@ SQL["json_segments"] = views.WITH + " select 'tree' || instance_gt % 3 as label,
 
 
 def _inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = views.points(spark, sf_dir).groupBy(F.lit(1)).agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", (F.col("point_id") % 37).cast("int").alias("s")))), lambda x: x["s"]).alias("segIndices"))
-    return text.segment_vertices(p.select(F.to_json(F.struct("segIndices")).alias("json"))).select("segment", F.size("vertices").alias("n"), F.element_at("vertices", 1).alias("first"), F.element_at("vertices", -1).alias("last"))
+    """One segment document a scan, inverted scan by scan."""
+    p = views.points(spark, sf_dir).groupBy("scan_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("point_id", (F.col("point_id") % 37).cast("int").alias("s")))), lambda x: x["s"]).alias("segIndices"))
+    vertices = text.segment_vertices(p.select("scan_id", F.to_json(F.struct("segIndices")).alias("json")), by=["scan_id"])
+    return vertices.select("scan_id", "segment", F.size("vertices").alias("n"), F.element_at("vertices", 1).alias("first"), F.element_at("vertices", -1).alias("last"))
 
 
 QUERIES["json_vertices"] = _inverted
-SQL["json_vertices"] = views.WITH + ", v as (select cast(row_number() over (order by point_id) - 1 as int) as v, cast(point_id % 37 as int) as segment from points) select segment, cast(count(*) as int) as n, min(v) as first, max(v) as last from v group by segment"
+SQL["json_vertices"] = views.WITH + ", v as (select scan_id, cast(row_number() over (partition by scan_id order by point_id) - 1 as int) as v, cast(point_id % 37 as int) as segment from points) select scan_id, segment, cast(count(*) as int) as n, min(v) as first, max(v) as last from v group by scan_id, segment"
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,16 +424,18 @@ _on(("customer",), "dataset_route", lambda c: boxes.route(c.select("c_custkey",
     "select case c_custkey % 3 when 0 then 'indoor' when 1 then 'outdoor' else 'unknown dataset' end as head, count(*) as n from customer group by 1", True)
 on_points("region_merge", lambda p: boxes.region_merge(geo.tile_membership(p, 800, 1600).join(p.where("instance_pred >= 0").select("scan_id", "point_id", F.col("instance_pred").alias("local")), ["scan_id", "point_id"]).select("scan_id", "region_id", "point_id", "local")))
 on_points("batch_offsets", training.batch_offsets, _V(20) + ", n as (select scan_id, count(distinct (vx, vy, vz)) as n from vx group by scan_id) select scan_id, n, cast(coalesce(sum(n) over (order by scan_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start from n")
-on_points("superpoint_pool", training.pooled, _V(100) + " select scan_id, vx, vy, vz, round(sum(score_pct) / count(*), 6) as f0, round(sum(x_cm - 3200) / count(*), 6) as f1, round(sum(y_cm - 3200) / count(*), 6) as f2 from vx group by scan_id, vx, vy, vz")
+on_points("superpoint_pool", lambda p: training.pooled(p, [F.col("score_pct"), F.col("x_cm") - 3200, F.col("y_cm") - 3200]), _V(100) + " select scan_id, vx, vy, vz, round(sum(score_pct) / count(*), 6) as f0, round(sum(x_cm - 3200) / count(*), 6) as f1, round(sum(y_cm - 3200) / count(*), 6) as f2 from vx group by scan_id, vx, vy, vz")
 on_points("voxel_sample_padded", training.padded_voxel_sample, _V(300) + """, ce as (select *, cast(row_number() over (partition by scan_id order by vx, vy, vz) - 1 as int) as slot from (select distinct scan_id, vx, vy, vz from vx)),
 ke as (select * from ce where slot < 40), pa as (select scan_id, vx, vy, vz, cast(unnest(range((select count(*) from ke k where k.scan_id = ke.scan_id), 40)) as int) as slot from ke where slot = 0),
 ra as (select * from (select *, row_number() over (partition by scan_id, vx, vy, vz order by point_id) as k from vx) where k <= 5)
 select s.scan_id, s.slot, point_id from (select * from ke union all select * from pa) s join ra on s.scan_id = ra.scan_id and s.vx = ra.vx and s.vy = ra.vy and s.vz = ra.vz""")
 on_points("patch_acceptance", training.patches, " select scan_id, cast(floor(x_cm / 800) as bigint) as px, cast(floor(y_cm / 800) as bigint) as py, count(distinct (floor(x_cm / 50), floor(y_cm / 50), floor(z_cm / 50))) as occupied, round(count(*) filter (instance_gt > 0) / count(*), 6) as labelled from points group by 1, 2, 3 having occupied >= 20 and labelled >= 0.7")
-on_masks("instance_ordinals", lambda mp, m, p: training.instance_ordinals(m), " select scan_id, mask_id, cast(mask_id % 4 as int) as label, cast(row_number() over (partition by scan_id, mask_id % 4 order by mask_id) - 1 as int) as ordinal from masks where score_pct >= 20")
-on_masks("mask_loss", lambda mp, m, p: training.mask_loss(mp, metrics.mask_matches(mp, p.where("instance_gt > 0")), p), _MATCH + """, be as (select scan_id, mask_id, instance_gt as best from (select *, row_number() over (partition by scan_id, mask_id order by iou desc, instance_gt) as k from ma) where k = 1 and iou > 0.5),
+on_masks("instance_ordinals", lambda mp, m, p: training.instance_ordinals(m.withColumn("label", (F.col("mask_id") % 4).cast("int"))), " select scan_id, mask_id, cast(mask_id % 4 as int) as label, cast(row_number() over (partition by scan_id, mask_id % 4 order by mask_id) - 1 as int) as ordinal from masks where score_pct >= 20")
+on_masks("mask_loss", lambda mp, m, p: training.mask_loss(views.mask_values(mp), metrics.mask_matches(mp, p.where("instance_gt > 0")), p), _MATCH + """, be as (select scan_id, mask_id, instance_gt as best from (select *, row_number() over (partition by scan_id, mask_id order by iou desc, instance_gt) as k from ma) where k = 1 and iou > 0.5),
 pr as (select p.scan_id, p.instance_gt = best as hit, ((10 + (mp.point_id * 31 + mp.mask_id * 17) % 90) / 100)::double * 0.99::double as q from mask_points mp join be on mp.scan_id = be.scan_id and mp.mask_id = be.mask_id join points p on p.scan_id = mp.scan_id and p.point_id = mp.point_id)
 select scan_id, round(avg(case when hit then -ln(q) else -ln(1 - q) end), 5) as loss, count(*) as n from pr group by scan_id""")
-on_points("semantic_decode", training.semantic_decode, ", v as (select scan_id, point_id, (point_id * 13 + z_cm) % 97 as a, (point_id * 29 + z_cm) % 97 as b, (point_id * 47 + z_cm) % 97 as c from points) select scan_id, point_id, cast(case when a >= b and a >= c then 0 when b >= c then 1 else 2 end as int) as semantic from v")
+on_points("semantic_decode", lambda p: training.semantic_decode(views.class_values(p), ["c0", "c1", "c2"]), ", v as (select scan_id, point_id, (point_id * 13 + z_cm) % 97 as a, (point_id * 29 + z_cm) % 97 as b, (point_id * 47 + z_cm) % 97 as c from points) select scan_id, point_id, cast(case when a >= b and a >= c then 0 when b >= c then 1 else 2 end as int) as semantic from v")
 _on(("events",), "loss_sum", lambda e: training.loss_sum(e.select((F.col("event_id") % 10).alias("step"), F.concat(F.when(F.col("event_id") % 3 == 0, "loss_").otherwise("acc_"), F.col("event_type")).alias("key"), "value")),
     "with o as (select event_id % 10 as step, case when event_id % 3 = 0 then 'loss_' else 'acc_' end || event_type as key, avg(value) as v from events group by all) select step, round(sum(v) filter (key like '%loss%'), 6) as total, count(*) as keys from o group by step", True)
+
+from stemline.plans import more  # noqa: E402,F401  registers its queries beside these

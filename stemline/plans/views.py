@@ -68,3 +68,69 @@ def mask_points(points: DataFrame) -> DataFrame:
 
 def masks(mask_points: DataFrame) -> DataFrame:
     return mask_points.groupBy("scan_id", "mask_id").agg((20 + F.col("mask_id") * 37 % 80).cast("int").alias("score_pct"), F.count(F.lit(1)).alias("n_points"))
+
+
+# ---- what stands in for a network's answers, as columns
+
+def soft_points(mask_points: DataFrame) -> DataFrame:
+    """mask_points with p: a mask value, in percent."""
+    return mask_points.withColumn("p", 10 + (F.col("point_id") * 31 + F.col("mask_id") * 17) % 90)
+
+
+def mask_values(mask_points: DataFrame) -> DataFrame:
+    """mask_points with p: a mask value as a probability."""
+    return mask_points.withColumn("p", (10 + (F.col("point_id") * 31 + F.col("mask_id") * 17) % 90) / 100.0)
+
+
+def offsets(points: DataFrame) -> DataFrame:
+    """points with (px, py, pz): offsets to the tree's centre, and the true ones (gx, gy, gz)."""
+    c = points.where("instance_gt > 0").groupBy("scan_id", "instance_gt").agg(*[(F.sum(a) / F.count(F.lit(1))).alias("m" + a[0]) for a in ("x_cm", "y_cm", "z_cm")])
+    p = points.where("instance_gt > 0").join(c, ["scan_id", "instance_gt"]).withColumns({"g" + a: F.col("m" + a) - F.col(f"{a}_cm") for a in "xyz"})
+    return p.withColumn("px", F.col("gx") + 10).withColumn("py", F.col("gy") - 5).withColumn("pz", F.col("gz") * 0.5)
+
+
+def heat(points: DataFrame) -> DataFrame:
+    """points with heat and its target, both in (0, 1)."""
+    return points.withColumn("heat", (10 + F.col("point_id") % 80) / 100.0).withColumn("target", F.col("score_pct") / 100.0)
+
+
+def class_values(points: DataFrame) -> DataFrame:
+    """points with three class values."""
+    return points.withColumns({f"c{k}": (F.col("point_id") * m + F.col("z_cm")) % 97 for k, m in enumerate((13, 29, 47))})
+
+
+def tile_answers(member: DataFrame, points: DataFrame) -> DataFrame:
+    """(scan_id, point_id, region_id, vote) of member: a tile's class for a point, moved on by one where the tile's id is a multiple of five."""
+    vote = F.when(F.col("region_id") % 5 == 0, (F.col("semantic_pred") + 1) % 3).otherwise(F.col("semantic_pred"))
+    return member.join(points.select("scan_id", "point_id", "semantic_pred"), ["scan_id", "point_id"]).select("scan_id", "point_id", "region_id", vote.alias("vote"))
+
+
+def mask_labels(masks: DataFrame, of: int = 2) -> DataFrame:
+    """masks with a label."""
+    return masks.withColumn("label", (F.floor(F.col("mask_id") / 4) % of).cast("int"))
+
+
+def centres(masks: DataFrame) -> DataFrame:
+    """(scan_id, mask_id, cx, cy): the centre of the tile that a mask comes from."""
+    return masks.select("scan_id", "mask_id", (1600 + F.floor(F.col("mask_id") / 4) % 3 * 1600).alias("cx"), F.lit(3200).alias("cy"))
+
+
+def truth(points: DataFrame) -> DataFrame:
+    """(scan_id, point_id, class, instance): two classes of trees; ground and every eleventh tree are void."""
+    g = F.col("instance_gt")
+    return points.select("scan_id", "point_id", F.when((g == 0) | (g % 11 == 0), 0).otherwise(1 + g % 2).cast("int").alias("class"), g.alias("instance"))
+
+
+def class_masks(masks: DataFrame) -> DataFrame:
+    return masks.select("scan_id", "mask_id", (1 + (F.floor(F.col("mask_id") / 4) + 1) % 2).cast("int").alias("class"), F.col("score_pct").alias("score"))
+
+
+def spilt_masks(mask_points: DataFrame, points: DataFrame, masks: DataFrame) -> DataFrame:
+    """mask_points, and some of the ground under masks."""
+    ground = points.where("instance_gt = 0 and point_id % 3 = 0").select("scan_id", (F.col("point_id") * 7 % 40 * 4).alias("mask_id"), "point_id")
+    return mask_points.unionByName(ground.join(masks.select("scan_id", "mask_id"), ["scan_id", "mask_id"], "left_semi"))
+
+
+def samples(points: DataFrame) -> DataFrame:
+    """(scan_id, sample_id, x_cm, y_cm, z_cm, semantic_pred): few points, many voxels apart."""
+    return points.where("point_id % 101 = 0").select("scan_id", F.col("point_id").alias("sample_id"), "x_cm", "y_cm", "z_cm", "semantic_pred")

@@ -38,3 +38,18 @@ def read_bin(spark: SparkSession, path: str, columns: list[str], dtype: str = "<
                 yield _rows(name, data[:, use] if use else data, columns)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ", ".join(["scan_id string", "point_id bigint", *(f"{c} {kind}" for c in columns)]))
+
+
+def read_superpoints(spark: SparkSession, path: str, fallback: str | None = None, dtype: str = "<i8") -> DataFrame:
+    """(scan_id, point_id, superpoint) from .bin files at path; where there are none, from those at fallback."""
+    from stemline.sources.store import listing
+
+    found = bool(listing(path, "*.bin"))
+    if not found and fallback is None:
+        raise FileNotFoundError(f"no superpoint files at {path}")
+    return read_bin(spark, path if found else fallback, ["superpoint"], dtype)
+
+
+def with_superpoints(points: DataFrame, superpoints: DataFrame) -> DataFrame:
+    """points with the superpoint of each as one more column."""
+    return points.join(superpoints, ["scan_id", "point_id"], "left")

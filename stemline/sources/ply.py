@@ -8,8 +8,8 @@ of its values within the task; option ascii = true.
 
 from __future__ import annotations
 
-import glob
-import os
+import io
+import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import ArrayType, ByteType, DoubleType, FloatType, IntegerType, LongType, ShortType, StringType, StructField, StructType
 
+from stemline.sources.store import listing, store
+
 #: Property types of the format (fixed values): name, numpy code.
 TYPES = {
     "char": "i1", "int8": "i1", "uchar": "u1", "uint8": "u1", "short": "i2", "int16": "i2", "ushort": "u2", "uint16": "u2",
@@ -83,13 +85,17 @@ def read_header(f) -> Header:
 
 
 def _files(path: str) -> list[str]:
-    path = path.removeprefix("file://") if path.startswith("file:///") else path.removeprefix("file:")
-    found = sorted(glob.glob(os.path.join(path, "*.ply")) if os.path.isdir(path) else glob.glob(path))
+    found = listing(path, "*.ply")
     if not found:
         raise FileNotFoundError(f"no PLY files at {path}")
     return found
 
 
+def _opened(uri: str, path: str) -> io.BufferedReader:
+    """A file of the file system that uri is on."""
+    return io.BufferedReader(store(uri)[0].open_input_file(path))
+
+
 def row_type(e: Element, order: str) -> np.dtype:
     return np.dtype([(n, ("" if order == "a" else order) + t) for n, t, _ in e.properties])
 
@@ -110,7 +116,7 @@ class PlySource(DataSource):
         return self.options.get("element", "vertex")
 
     def schema(self) -> StructType:
-        with open(_files(self.options["path"])[0], "rb") as f:
+        with _opened(self.options["path"], _files(self.options["path"])[0]) as f:
             e = read_header(f).element(self._element())
         fields = [StructField("scan_id", StringType()), StructField("point_id", LongType())]
         return StructType([*fields, *(StructField(n, ArrayType(_SPARK[t]) if length else _SPARK[t]) for n, t, length in e.properties)])
@@ -129,7 +135,7 @@ class PlyReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         out = []
         for path in _files(self.path):
-            with open(path, "rb") as f:
+            with _opened(self.path, path) as f:
                 h = read_header(f)
             e = h.element(self.element)
             whole = h.order == "a" or any(x for p in h.elements[: h.elements.index(e) + 1] for _, _, x in p.properties)
@@ -139,11 +145,11 @@ class PlyReader(DataSourceReader):
     def read(self, part: Rows) -> Iterator[pa.RecordBatch]:
         import pyspark.sql.pandas.types as types
 
-        with open(part.path, "rb") as f:
+        with _opened(self.path, part.path) as f:
             h = read_header(f)
             e = h.element(self.element)
             columns = self._ascii(f, h, e) if h.order == "a" else self._binary(f, h, e, part)
-        name = os.path.basename(part.path).removesuffix(".ply")
+        name = posixpath.basename(part.path).removesuffix(".ply")
         n = part.count
         columns = {"scan_id": [name] * n, "point_id": np.arange(part.first, part.first + n)} | columns
         schema = types.to_arrow_schema(self.schema)
@@ -200,12 +206,18 @@ class PlyReader(DataSourceReader):
 
 @dataclass
 class Written(WriterCommitMessage):
-    files: list[tuple[str, str]]
+    files: list[tuple[str, str, int]]
 
 
 class PlyWriter(DataSourceWriter):
+    """One file for each value of `by`, whatever tasks hold its rows, or one a task.
+
+    A task keeps its rows as packed records and writes a part for each value; on commit a value's only part gets its name, and
+    several are laid end to end behind one header, a block at a time.
+    """
+
     def __init__(self, path: str, schema: StructType, by: str | None, ascii_: bool, overwrite: bool):
-        self.path, self.by, self.ascii, self.overwrite = path.removeprefix("file://"), by, ascii_, overwrite
+        self.path, self.by, self.ascii, self.overwrite = path, by, ascii_, overwrite
         self.names = [x.name for x in schema.fields if x.name != by]
         kinds = {x.name: x.dataType.simpleString() for x in schema.fields}
         wrong = [n for n in self.names if kinds[n] not in _NAMES]
@@ -214,46 +226,75 @@ class PlyWriter(DataSourceWriter):
         self.kinds = [_NAMES[kinds[n]] for n in self.names]
 
     def write(self, rows) -> WriterCommitMessage:
+        packed = np.dtype([(n, "<" + TYPES[k]) for n, k in zip(self.names, self.kinds)])
         groups: dict = {}
         for r in rows:
-            groups.setdefault(r[self.by] if self.by else None, []).append(tuple(r[n] for n in self.names))
-        os.makedirs(self.path, exist_ok=True)
+            some, chunks = groups.setdefault(r[self.by] if self.by else None, ([], []))
+            some.append(tuple(r[n] for n in self.names))
+            if len(some) == 10_000:
+                chunks.append(np.array(some, packed))
+                some.clear()
+        system, to = store(self.path)
+        system.create_dir(to, recursive=True)
         files = []
-        for key, held in groups.items():
+        for key, (some, chunks) in groups.items():
             stem = str(key) if self.by else f"part-{uuid.uuid4().hex[:12]}"
-            temp = os.path.join(self.path, f".{stem}-{uuid.uuid4().hex}.tmp")
-            write_file(temp, self.names, self.kinds, held, self.ascii)
-            files.append((temp, os.path.join(self.path, f"{stem}.ply")))
+            data = np.concatenate([*chunks, np.array(some, packed)])
+            temp = f"{to}/.{stem}-{uuid.uuid4().hex}.tmp"
+            with system.open_output_stream(temp) as f:
+                f.write(_body(data, self.ascii))
+            files.append((stem, temp, len(data)))
         return Written(files)
 
     def commit(self, messages) -> None:
+        from pyarrow import fs
+
+        system, to = store(self.path)
         if self.overwrite:
-            for old in glob.glob(os.path.join(self.path, "*.ply")):
-                os.remove(old)
+            for old in system.get_file_info(fs.FileSelector(to, allow_not_found=True)):
+                if old.type == fs.FileType.File and old.path.endswith(".ply"):
+                    system.delete_file(old.path)
+        parts: dict[str, list] = {}
         for m in messages:
-            for temp, to in m.files if m else ():
-                os.replace(temp, to)
+            for stem, temp, n in m.files if m else ():
+                parts.setdefault(stem, []).append((temp, n))
+        for stem, some in parts.items():
+            whole = f"{to}/.{stem}-{uuid.uuid4().hex}.whole"
+            with system.open_output_stream(whole) as out:
+                out.write(_head(self.names, self.kinds, sum(n for _, n in some), self.ascii))
+                for temp, _ in some:
+                    with system.open_input_stream(temp) as part:
+                        while block := part.read(8 << 20):
+                            out.write(block)
+            system.move(whole, f"{to}/{stem}.ply")
+            for temp, _ in some:
+                system.delete_file(temp)
 
     def abort(self, messages) -> None:
+        system, _ = store(self.path)
         for m in messages:
-            for temp, _ in m.files if m else ():
-                if os.path.exists(temp):
-                    os.remove(temp)
+            for _, temp, _ in m.files if m else ():
+                system.delete_file(temp)
+
+
+def _head(names: list[str], kinds: list[str], rows: int, ascii_: bool, faces: int | None = None) -> bytes:
+    head = ["ply", f"format {'ascii' if ascii_ else 'binary_little_endian'} 1.0", f"element vertex {rows}", *(f"property {k} {n}" for n, k in zip(names, kinds))]
+    if faces is not None:
+        head += [f"element face {faces}", "property list uchar int vertex_indices"]
+    return ("\n".join([*head, "end_header"]) + "\n").encode()
+
+
+def _body(data: np.ndarray, ascii_: bool) -> bytes:
+    return "".join(" ".join(map(repr, r)) + "\n" for r in data.tolist()).encode() if ascii_ else data.tobytes()
 
 
 def write_file(path: str, names: list[str], kinds: list[str], rows: list[tuple], ascii_: bool = False, faces=None) -> None:
     """One PLY file; faces: rows of vertex numbers."""
     data = np.array(rows, dtype=[(n, "<" + TYPES[k]) for n, k in zip(names, kinds)])
-    head = ["ply", f"format {'ascii' if ascii_ else 'binary_little_endian'} 1.0", f"element vertex {len(data)}", *(f"property {k} {n}" for n, k in zip(names, kinds))]
-    if faces is not None:
-        head += [f"element face {len(faces)}", "property list uchar int vertex_indices"]
-    with open(path, "wb") as f:
-        f.write(("\n".join([*head, "end_header"]) + "\n").encode())
-        if ascii_:
-            for r in data.tolist():
-                f.write((" ".join(map(repr, r)) + "\n").encode())
-        else:
-            f.write(data.tobytes())
+    system, to = store(path)
+    with system.open_output_stream(to) as f:
+        f.write(_head(names, kinds, len(data), ascii_, None if faces is None else len(faces)))
+        f.write(_body(data, ascii_))
         for face in faces if faces is not None else ():
             f.write((f"{len(face)} {' '.join(map(str, face))}\n").encode() if ascii_ else np.uint8(len(face)).tobytes() + np.array(face, "<i4").tobytes())
 

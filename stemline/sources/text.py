@@ -18,10 +18,10 @@ def segment_groups(documents: DataFrame, column: str = "json") -> DataFrame:
     return g.select((F.col("g.objectId") + 1).alias("object_id"), F.col("g.label").alias("label"), F.explode("g.segments").alias("segment"))
 
 
-def segment_vertices(documents: DataFrame, column: str = "json") -> DataFrame:
-    """(segment, vertices): the vertex numbers of each segment, in order."""
-    v = documents.select(F.posexplode(F.from_json(column, "struct<segIndices:array<int>>")["segIndices"]).alias("vertex", "segment"))
-    return v.groupBy("segment").agg(F.sort_array(F.collect_list("vertex")).alias("vertices"))
+def segment_vertices(documents: DataFrame, column: str = "json", by: list[str] | None = None) -> DataFrame:
+    """(by..., segment, vertices): the vertex numbers of each segment of a document, in order; by: the columns that tell documents apart."""
+    v = documents.select(*(by or []), F.posexplode(F.from_json(column, "struct<segIndices:array<int>>")["segIndices"]).alias("vertex", "segment"))
+    return v.groupBy(*(by or []), "segment").agg(F.sort_array(F.collect_list("vertex")).alias("vertices"))
 
 
 def training_log(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -38,3 +38,24 @@ def scan_info(boxes: DataFrame, classes=("tree",)) -> DataFrame:
     one = boxes.groupBy("scan_id").agg(F.sort_array(F.collect_list(box)).alias("instances"))
     info = F.struct(F.col("scan_id").alias("sample_idx"), F.struct(F.lit(3).alias("num_pts_feats"), F.concat(F.col("scan_id").cast("string"), F.lit(".bin")).alias("lidar_path")).alias("lidar_points"), "instances", F.lit(None).cast("string").alias("images"))
     return one.select("scan_id", F.to_json(info).alias("info"))
+
+
+def pruned(info: DataFrame, column: str) -> DataFrame:
+    """A struct column as JSON without its null keys, however deep."""
+    return info.withColumn(column, F.to_json(column, {"ignoreNullFields": "true"}))
+
+
+def split_of(path: F.Column, names: tuple[str, ...] = ("train", "val", "test")) -> F.Column:
+    """The split that a path names, the last of `names` that it holds; null without one. As a partition column it prunes what a plan reads."""
+    out = F.lit(None).cast("string")
+    for n in names:
+        out = F.when(path.contains(n), F.lit(n)).otherwise(out)
+    return out
+
+
+def routed(rows: DataFrame, groups: dict[str, list[str]], keys: list[str]) -> DataFrame:
+    """keys, and a struct for each group of columns; a column that no group knows is an error."""
+    unknown = set(rows.columns) - set(keys) - {c for cs in groups.values() for c in cs}
+    if unknown:
+        raise KeyError(f"no group takes {', '.join(sorted(unknown))}")
+    return rows.select(*keys, *[F.struct(*[c for c in cs if c in rows.columns]).alias(g) for g, cs in groups.items() if any(c in rows.columns for c in cs)])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stemline.llm.common import table
+from stemline.llm.common import held, table
 
 #: Words whose ids a worker keeps, twice over (since the last but one clearing), and the longest that it keeps.
 CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
@@ -223,14 +223,11 @@ class PrefixBpe:
 
 
 _ALPHABET = byte_alphabet()
-_LOADED: dict[str, PrefixBpe] = {}
 
 
 def load(path: str) -> PrefixBpe:
     """The vocabulary at path, read once by each worker."""
-    if path not in _LOADED:
-        _LOADED[path] = PrefixBpe(path)
-    return _LOADED[path]
+    return held(f"bpe {path}", lambda: PrefixBpe(path))
 
 
 def public_vocabulary() -> str:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import re
 import tempfile
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,22 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(key: str, make: Callable[[], Any]) -> Any:
+    """What a worker made under this key before; it keeps one such thing, so that operators of a pipeline don't pile up their models."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what the worker holds for other operators."""
+    _HELD.clear()
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that nothing refers to any more; it does so when the driver collects its garbage."""
     gc.collect()

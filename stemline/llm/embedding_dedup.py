@@ -26,8 +26,12 @@ THRESHOLD = 0.93
 SHARD, PIVOTS, MARGIN = 1000, 20_000, 0.12
 #: Graph: longest list, candidates for it, far candidates, slack of the pruning.
 DEGREE, POOL, FAR, ALPHA = 32, 64, 6, 1.2
-#: Search: beam, and how far below the threshold a vector is still expanded.
-BEAM, SLACK = 32, 0.2
+#: Vectors of a cell, within which lists are made.
+CELL = 1000
+#: Pivots that share a shard if they are this near to the first of them, so many at most: a dense cluster is one shard of GROUP * SHARD vectors.
+NEAR, GROUP = 0.75, 24
+#: Search: beam, how far below the threshold a vector is still expanded, and vectors met (or a sixteenth of the shard, if that is more) from which a query is compared with all.
+BEAM, SLACK, DENSE = 32, 0.2, 1500
 
 
 def unit_rows(vectors: list) -> np.ndarray:
@@ -47,26 +51,43 @@ def robust_prune(near: np.ndarray, distance: np.ndarray, between: np.ndarray) ->
     return kept
 
 
+def _cells(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """Overlapping clusters of CELL vectors, about: each vector is in those of the two sampled ones that are nearest."""
+    n = len(x)
+    if n <= CELL:
+        yield np.arange(n)
+        return
+    pivots = x[rng.choice(n, -(-2 * n // CELL), replace=False)]
+    two = np.concatenate([np.argpartition(-(x[a : a + 1024] @ pivots.T), 1, axis=1)[:, :2] for a in range(0, n, 1024)])
+    member = np.repeat(np.arange(n), 2)
+    order = np.argsort(two.ravel(), kind="stable")
+    for some in np.split(member[order], np.flatnonzero(np.diff(two.ravel()[order])) + 1):
+        for part in np.array_split(rng.permutation(some), -(-len(some) // (2 * CELL))):  # what many are nearest to is cut
+            yield np.sort(part)
+
+
 def build_graph(x: np.ndarray, seed: int) -> list[list[int]]:
-    """Lists of neighbours of the unit vectors x, pruned and made mutual."""
+    """Lists of neighbours of the unit vectors x, found cell by cell, pruned, united and made mutual; the work grows with len(x) * CELL."""
     n = len(x)
     rng = np.random.default_rng(seed)
     lists: list[list[int]] = [[] for _ in range(n)]
     if n < 2:
         return lists
-    pool = min(POOL, n - 1)
-    for a in range(0, n, 256):
-        sims = x[a : a + 256] @ x.T
-        sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
-        top = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
-        for i in range(len(sims)):
-            far = rng.integers(0, n, FAR)
-            c = np.unique(np.concatenate([top[i], far[far != a + i]]))
-            d = np.sqrt(np.maximum(0, 2 - 2 * sims[i, c]))
-            order = np.argsort(d, kind="stable")
-            c, d = c[order], d[order]
-            between = np.sqrt(np.maximum(0, 2 - 2 * (x[c] @ x[c].T)))
-            lists[a + i] = c[robust_prune(c, d, between)].tolist()
+    for cell in _cells(x, rng):
+        m, y = len(cell), x[cell]
+        pool = min(POOL, m - 1)
+        for a in range(0, m if pool > 0 else 0, 256):
+            sims = y[a : a + 256] @ y.T
+            sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
+            top = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
+            for i in range(len(sims)):
+                far = rng.integers(0, m, FAR)
+                c = np.unique(np.concatenate([top[i], far[far != a + i]]))
+                d = np.sqrt(np.maximum(0, 2 - 2 * sims[i, c]))
+                order = np.argsort(d, kind="stable")
+                c, d = c[order], d[order]
+                between = np.sqrt(np.maximum(0, 2 - 2 * (y[c] @ y[c].T)))
+                lists[cell[a + i]] += cell[c[robust_prune(c, d, between)]].tolist()
     back: list[list[int]] = [[] for _ in range(n)]
     for i, out in enumerate(lists):
         for j in out:
@@ -83,15 +104,17 @@ def build_graph(x: np.ndarray, seed: int) -> list[list[int]]:
     return lists
 
 
-def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: int, threshold: float) -> np.ndarray:
-    """Places of vectors whose cosine with x[q] reaches the threshold, q left out."""
+def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: int, threshold: float) -> np.ndarray | None:
+    """Places of vectors whose cosine with x[q] reaches the threshold, q left out; None once so many vectors are met that comparing all is less work."""
     query = x[q]
     seen = {medoid, q}
     start = float(x[medoid] @ query)
     beam, todo, hits = [start], [(-start, medoid), (-1.0, q)], []
     heapq.heapify(todo)
-    floor = threshold - SLACK
+    floor, most = threshold - SLACK, max(DENSE, len(x) // 16)
     while todo:
+        if len(seen) > most:
+            return None
         s, i = heapq.heappop(todo)
         s = -s
         if s < floor and len(beam) >= BEAM and s < beam[0]:
@@ -136,7 +159,8 @@ def _shards(classes: DataFrame) -> DataFrame:
     pivots: dict[tuple, list] = {}
     for r in picked.select("label", "vector", "class_id").orderBy("class_id").limit(2 * PIVOTS).collect():
         pivots.setdefault((r["label"], len(r["vector"])), []).append(r["vector"])
-    shared = spark.sparkContext.broadcast({k: unit_rows(v) for k, v in pivots.items() if len(v) > 1})
+    units = {k: unit_rows(v) for k, v in pivots.items() if len(v) > 1}
+    shared = spark.sparkContext.broadcast({k: (v, _grouped(v)) for k, v in units.items()})
     number = {k: i for i, k in enumerate(sorted(share))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +178,16 @@ def _shards(classes: DataFrame) -> DataFrame:
                     shard += [base] * len(at)
                     home += [True] * len(at)
                     continue
-                sims = unit_rows([vectors[i] for i in at]) @ known[key].T
-                best = sims.argmax(axis=1)
-                a, b = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - MARGIN)
-                row += [at[i] for i in a.tolist()]
-                shard += (b + base).tolist()
-                home += (b == best[a]).tolist()
+                units, group = known[key]
+                for k in range(0, len(at), 256):
+                    some = at[k : k + 256]
+                    sims = unit_rows([vectors[i] for i in some]) @ units.T
+                    best = group[sims.argmax(axis=1)]
+                    a, b = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - MARGIN)
+                    a, b = np.divmod(np.unique(a * len(group) + group[b]), len(group))
+                    row += [some[i] for i in a.tolist()]
+                    shard += (b + base).tolist()
+                    home += (b == best[a]).tolist()
             part = batch.take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([part["vector"], part["class_id"], part["members"], pa.array(shard, pa.int64()), pa.array(home, pa.bool_())], names=["vector", "class_id", "members", "shard", "home"])
 
@@ -167,6 +195,26 @@ def _shards(classes: DataFrame) -> DataFrame:
     return classes.select("label", "vector", "class_id", "members").mapInArrow(run, f"vector {kind}, class_id bigint, members bigint, shard bigint, home boolean")
 
 
+def _grouped(units: np.ndarray) -> np.ndarray:
+    """For each pivot the first one of its group: the nearest such that is near enough and has room. Pivots of a dense cluster are all near each
+    other, and a vector near to all of them; dealt to each it would be in every shard."""
+    group, size, leaders = np.empty(len(units), np.int64), [], []
+    firsts = np.empty_like(units)
+    for k, u in enumerate(units):
+        if leaders:
+            sims = np.where(np.array(size) < GROUP, firsts[: len(leaders)] @ u, -2)
+            at = int(sims.argmax())
+            if sims[at] >= NEAR:
+                group[k] = leaders[at]
+                size[at] += 1
+                continue
+        firsts[len(leaders)] = u
+        group[k] = k
+        leaders.append(k)
+        size.append(1)
+    return group
+
+
 def _lists(held: DataFrame) -> DataFrame:
     """(class_id, near): the lists that a class has from all its shards, united."""
 
@@ -206,22 +254,42 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         member = rows["member"].to_numpy(zero_copy_only=False)
         medoid = int(np.argmax(np.where(member, x @ x[member].mean(axis=0), -2)))
         forest, asked = Forest(len(ids)), np.flatnonzero(rows["home"].to_numpy(zero_copy_only=False))
-        found = []
+        found, dense = [], []
         for q in asked.tolist():
             hit = range_search(x, lists_, medoid, q, threshold)
+            if hit is None:
+                dense.append(q)
+                continue
             if len(hit):
                 hit = hit[cosine_at_least(raw[hit], np.broadcast_to(raw[q], (len(hit), raw.shape[1])), threshold)]
                 found.append(hit * len(ids) + q)
             for j in hit.tolist():
                 forest.join(q, j)
+        roots, links_ = np.array([forest.root(i) for i in range(len(ids))], np.int64), {}
+        sparse = np.setdiff1d(asked, dense)
+        for a in range(0, len(dense), 128):  # queries whose links are a good part of the shard: against all, in blocks
+            some = np.array(dense[a : a + 128])
+            sims = x[some] @ x.T
+            hit = sims >= threshold
+            i, j = np.nonzero(np.abs(sims - threshold) < 1e-9)
+            hit[i, j] = cosine_at_least(raw[some[i]], raw[j], threshold)
+            hit[np.arange(len(some)), some] = False
+            links_.update(zip(some.tolist(), (hit @ weight).tolist()))
+            i, j = np.nonzero(hit[:, sparse])
+            found.append(sparse[j] * len(ids) + some[i])
+            for q, h in zip(some.tolist(), hit):
+                met = roots[h]
+                if (met != roots[q]).any():
+                    met = np.unique(np.append(met, roots[q]))
+                    roots[np.isin(roots, met)] = met[0]
         # what one of two searches finds counts for both
         pairs = np.concatenate(found) if found else np.empty(0, np.int64)
         pairs = np.unique(np.concatenate([pairs, pairs % len(ids) * len(ids) + pairs // len(ids)]))
         total = np.bincount(pairs % len(ids), weights=weight[pairs // len(ids)], minlength=len(ids)).astype(np.int64)
-        others = dict(zip(asked.tolist(), total[asked].tolist()))
-        roots = [forest.root(i) for i in range(len(ids))]
+        others = dict(zip(asked.tolist(), total[asked].tolist())) | links_
+        roots = roots.tolist()
         some = [i for i in range(len(ids)) if i in others or roots[i] != i]
-        return pa.table({"class_id": ids[some], "others": pa.array([others.get(i) for i in some], pa.int64()), "root": ids[[roots[i] for i in some]] if some else ids[:0]})
+        return pa.table({"class_id": ids[some], "others": pa.array([None if i not in others else int(others[i]) for i in some], pa.int64()), "root": ids[[roots[i] for i in some]] if some else ids[:0]})
 
     return graph.select("shard", "class_id", "vector", "members", "near", "home", "member").groupBy("shard").applyInArrow(run, "class_id bigint, others bigint, root bigint")
 

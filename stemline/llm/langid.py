@@ -12,13 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stemline.llm.common import table
+from stemline.llm.common import held, table
 
-#: The bounded training sample: documents a language (twice that, expected, are fetched, so that as many remain),
-#: characters of one of them, characters of distinct words a language, and languages, the most frequent first.
-SAMPLE_DOCS, SAMPLE_CHARS, WORD_CHARS, LANGUAGES = 60, 20_000, 60_000, 256
-#: Words whose phrase counts a worker keeps, and the longest that it keeps.
-CACHE_WORDS, CACHE_CHARS = 400_000, 48
+#: The bounded training sample: documents a language (twice that, expected, are fetched, so that as many remain), characters of
+#: one of them, characters of running text a language and of all languages together, and languages, the most frequent first.
+SAMPLE_DOCS, SAMPLE_CHARS, LANG_CHARS, ALL_CHARS, LANGUAGES = 60, 4_000, 60_000, 480_000, 256
 #: What a text without a letter is.
 UNDETERMINED = "und"
 
@@ -34,13 +32,17 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def running(words: list[str]) -> str:
+    """Words as they stand in a text, a blank before and behind each."""
+    return f" {' '.join(words)} " if words else ""
+
+
 class SuffixAutomaton:
-    """All substrings of a text, as an automaton grown character by character."""
+    """All substrings of a text, as an automaton grown character by character; a state is the dictionary of its transitions."""
 
     def __init__(self, text: str):
-        self.next: list[dict[str, int]] = [{}]
+        step: list[dict] = [{}]
         link, length, last = [-1], [0], 0
-        step = self.next
         for c in text:
             cur = len(step)
             step.append({})
@@ -64,65 +66,44 @@ class SuffixAutomaton:
                         step[p][c] = twin
                         p = link[p]
             last = cur
+        for state in step:
+            for c, k in state.items():
+                state[c] = step[k]
+        self.root = step[0]
 
     def phrases(self, text: str) -> int:
         """Phrases of the cross-parsing: each the longest match from where the one before ended, one character at least."""
-        step, root = self.next, self.next[0]
-        count, here = 0, root
+        root = here = self.root
+        count = 0
         for c in text:
             k = here.get(c)
             if k is None:
                 if here is not root:
                     count += 1
-                k = root.get(c)
+                    k = root.get(c)
                 if k is None:  # a character that the language doesn't have is a phrase
                     count += 1
-                    here = root
-                    continue
-            here = step[k]
+                    k = root
+            here = k
         return count + (here is not root)
 
 
 class CrossParser:
-    """Phrase costs of texts under each language; a phrase never leaves a run of letters, so costs are sums over words.
+    """Phrase costs of whole running texts under each language.
 
-    model: (language, labelled words) pairs. A phrase costs the logarithm of the
+    model: (language, labelled running text) pairs. A phrase costs the logarithm of the
     length of the longest such text under all languages, so that a short one doesn't make phrases cheap.
     """
 
     def __init__(self, model: list[tuple[str, str]]):
         self.languages = [k for k, _ in model]
-        self._automata = [SuffixAutomaton(words) for _, words in model]
-        self._bits = math.log2(max((len(words) for _, words in model), default=0) + 2)
-        self._row: dict[str, int] = {}
-        self._table = np.zeros((CACHE_WORDS, len(model)), np.float32)
-
-    def _cost(self, word: str) -> np.ndarray:
-        marked = f" {word} "
-        return np.array([a.phrases(marked) for a in self._automata]) * self._bits
+        self._automata = [SuffixAutomaton(text) for _, text in model]
+        self._bits = math.log2(max((len(text) for _, text in model), default=0) + 2)
 
     def costs(self, text: str) -> np.ndarray:
         """Bits that the whole text takes under each language."""
-        words, row, total = words_of(text), self._row, np.zeros(len(self.languages))
-        found = list(map(row.get, words))
-        if None in found:
-            for k, at in enumerate(found):
-                if at is None:
-                    word = words[k]
-                    at = row.get(word)
-                    if at is None:
-                        cost = self._cost(word)
-                        if len(word) > CACHE_CHARS or len(row) == CACHE_WORDS:
-                            total += cost
-                            continue
-                        at = row[word] = len(row)
-                        self._table[at] = cost
-                    found[k] = at
-            found = [x for x in found if x is not None]
-        total += self._table[found].sum(axis=0, dtype=np.float64)
-        if len(row) >= CACHE_WORDS:
-            row.clear()
-        return total
+        parsed = running(words_of(text))
+        return np.array([a.phrases(parsed) for a in self._automata]) * self._bits
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the probability that the costs stand for; ties go to the language named first."""
@@ -138,11 +119,11 @@ def _fold(id_col: str, n: int) -> F.Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """(language, distinct words joined by blanks) for each learned language, most frequent first.
+    """(language, running text) for each learned language, most frequent first.
 
     Learns from labelled rows outside the held-out fold. The rows of a language
-    with the smallest hashes of their ids are its sample, within the documented bounds. Words are
-    kept whole, however long; rows without a letter teach nothing, and a language that has no others isn't learned.
+    with the smallest hashes of their ids are its sample, within the documented bounds; their words follow each other as they stand, whole,
+    however long. Rows without a letter teach nothing, and a language that has no others isn't learned.
     """
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("g")).where((_fold("i", 3) != 1) & F.col("t").rlike(r"\p{L}") & F.col("g").isNotNull())
     counts = rows.groupBy("g").count().orderBy(F.desc("count"), "g").limit(LANGUAGES).collect()
@@ -152,37 +133,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     share = F.create_map(*[F.lit(x) for r in counts for x in (r["g"], min(1 << 30, (2 * SAMPLE_DOCS << 30) // r["count"] + 1))])
     picked = rows.withColumn("h", spin).where(F.col("h") < share[F.col("g")])
     picked = picked.select("g", "h", F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy("h").limit(4 * SAMPLE_DOCS * len(counts)).collect()
-    model = []
+    model, most = [], min(LANG_CHARS, ALL_CHARS // len(counts))
     for r in counts:
-        words: dict[str, None] = {}
-        room = WORD_CHARS
+        words: list[str] = []
+        size = 0
         for x in [x for x in picked if x["g"] == r["g"]][:SAMPLE_DOCS]:
-            for w in words_of(x["t"]):
-                if w not in words and room > 0:
-                    words[w] = None
-                    room -= len(w) + 1
+            for w in words_of(x["t"]) if size < most else ():
+                words.append(w)
+                size += len(w) + 1
+                if size >= most:
+                    break
         if words:
-            model.append((r["g"], f" {' '.join(words)} "))
+            model.append((r["g"], running(words)))
     return model
 
 
-_PARSERS: dict[int, CrossParser] = {}
-
-
 def annotate(docs: DataFrame, model: list[tuple[str, str]], text_col: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """docs with the predicted language and its score behind its columns; no shuffle."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast(model)
     names = docs.columns
     inner = [f"c{k}" for k in range(len(names))]
     at = names.index(text_col)
     schema = T.StructType([T.StructField(n, f.dataType, True) for n, f in zip(inner, docs.schema.fields)] + [T.StructField("p", T.StringType()), T.StructField("s", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash(tuple(held.value))
-        if (parser := _PARSERS.get(key)) is None:
-            _PARSERS.clear()
-            parser = _PARSERS[key] = CrossParser(held.value)
+        parser = held(f"languages {hash(tuple(shared.value))}", lambda: CrossParser(shared.value))
         for batch in batches:
             got = [parser.predict(t.as_py()) for t in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g for g, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], names=[*inner, "p", "s"])
@@ -195,7 +171,8 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null texts and texts without a letter are `und` with score 0, and so is
     everything if no row is labelled. A null id is in no fold: such a row is neither learned from
-    nor held out. lang, source and doc_id are inputs of the fit alone. Repeated rows are each returned.
+    nor held out. lang, source and doc_id are inputs of the fit alone. Repeated rows are each returned. Whole texts are parsed, of any
+    length, at a cost that grows with the number of languages; other columns, whatever their names, are ignored; an empty table gives no rows.
     """
     model = fit(docs, id_col, text_col, lang_col)
     slim = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(_fold(id_col, 3) == 1, F.lit(False)).alias("held_out"), F.col(text_col).cast("string").alias("text"))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemline.llm.common import checkpoint, drop_rows, meet, row_id
+from stemline.llm.common import checkpoint, drop_rows, let_go, meet, row_id
 from stemline.llm.components import connected_components
 from stemline.llm.simhash import SEED, fingerprint, link_fingerprints
 
@@ -21,6 +21,8 @@ from stemline.llm.simhash import SEED, fingerprint, link_fingerprints
 SIMILARITY, WORDS = 0.8, 5
 #: Bands of MinHashes and MinHashes in a band: of pairs with similarity 0.8 all but (1 - 0.8^6)^32 = 0.006 % meet in some band.
 BANDS, ROWS = 32, 6
+#: Bands whose groups are joined before the others are looked at.
+FIRST_BANDS = 4
 #: Differing bits of fingerprints up to which they are candidates as well.
 BITS = 5
 #: Shingles that are hashed side by side.
@@ -61,12 +63,12 @@ def class_of(hashes: np.ndarray) -> int:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b): of a partition sorted by band and class, each class with the first of its band."""
+    """(a, b): of a partition sorted by band and node, each node with the first of its band."""
     band, first = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key, node = batch["band"].to_numpy(), batch["class"].to_numpy()
+        key, node = batch["band"].to_numpy(), batch["node"].to_numpy()
         begin = np.r_[key[0] != band, key[1:] != key[:-1]]
         place = np.maximum.accumulate(np.where(begin, np.arange(len(key)), -1))
         to = np.where(place < 0, first, node[place]) if first is not None else node[place]
@@ -75,6 +77,11 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(to[other].astype(np.int64)), pa.array(node[other])], names=["a", "b"])
 
 
+def _stars_of(banded: DataFrame, parts: int) -> DataFrame:
+    """(a, b): links that join all nodes of each band of banded(band, node)."""
+    return banded.repartition(parts, "band").sortWithinPartitions("band", "node").mapInArrow(_stars, "a bigint, b bigint").distinct()
+
+
 def join_similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list[int]:
     """For each set the first position that links reach; a link is a pair whose Jaccard similarity is large enough.
 
@@ -112,6 +119,7 @@ def join_similar(sets: list[np.ndarray], similarity: float = SIMILARITY) -> list
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, group) of a partition of candidates, sorted by component and class; a group goes by one of its classes, single ones are left out."""
+    let_go()
     component, ids, sets = None, [], []
 
     def found() -> pa.RecordBatch:
@@ -144,7 +152,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        let_go()
+        for batch in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             texts = batch["text"].to_pylist()
             sets = [shingles(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -163,14 +172,23 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first = F.min(F.struct("doc_id", "digest"))
     unique = checkpoint(rows.groupBy("class").agg(first.alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = unique.select(F.explode("bands").alias("band"), "class").repartition(parts, "band").sortWithinPartitions("band", "class")
-    by_fp = unique.where("bands is not null").groupBy("fp").agg(F.min("class").alias("node"))
-    links = link_fingerprints(by_fp, BITS)
+    # a few bands first, so that a large group is one node when the others are looked at
+    wordy = unique.where("bands is not null")
+    by_band = [wordy.select(F.explode(F.slice("bands", a + 1, b - a)).alias("band"), "class") for a, b in ((0, FIRST_BANDS), (FIRST_BANDS, BANDS))]
+    early = _stars_of(by_band[0].select("band", F.col("class").alias("node")), parts)
+    label = checkpoint(connected_components(early)).select(F.col("node").alias("of"), F.col("component").alias("label"))
+    named = checkpoint(wordy.join(label, F.col("class") == F.col("of"), "left").select("class", "fp", F.coalesce("label", "class").alias("label"), F.slice("bands", FIRST_BANDS + 1, BANDS).alias("bands")))
+    late = _stars_of(named.select(F.explode("bands").alias("band"), F.col("label").alias("node")).distinct(), parts)
+    by_fp = checkpoint(named.groupBy("fp").agg(F.min("label").alias("node"), F.max("label").alias("last")))
+    links = link_fingerprints(by_fp.select("fp"), BITS)
     for side in "ab":
         links = links.join(by_fp.select(F.col("fp").alias(side), F.col("node").alias(f"id_{side}")), side)
-    same = unique.where("bands is not null").join(by_fp, "fp").where("class <> node").select(F.col("node").alias("a"), F.col("class").alias("b"))
-    candidates = met.mapInArrow(_stars, "a bigint, b bigint").unionByName(same).unionByName(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
-    groups = connected_components(candidates.distinct())
+    same = named.join(by_fp.where("node < last"), "fp").where("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    candidates = late.unionByName(same).unionByName(links.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))).where("a <> b")
+    groups = checkpoint(connected_components(candidates.distinct()).select(F.col("node").alias("of"), "component"))
+    groups = meet(named, groups, [("label", "of")]).select(F.col("class").alias("node"), F.coalesce("component", "label").alias("component"))
+    many = checkpoint(groups.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("component").alias("some")))
+    groups = meet(groups, many, [("component", "some")], "left_semi")
     members = checkpoint(unique.join(groups, F.col("class") == F.col("node")).select("component", "class", F.col("first.doc_id").alias("i"), F.col("first.digest").alias("d")))
     texts = members.join(slim, (F.col("i") == F.col("doc_id")) & (F.col("d") == F.col("digest"))).select("component", "class", "text").dropDuplicates(["class"])
     verified = checkpoint(texts.repartition(parts, "component").sortWithinPartitions("component", "class").mapInArrow(_verified, "class bigint, group bigint"))

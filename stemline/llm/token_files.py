@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stemline.llm.bpe import Kept, byte_alphabet
-from stemline.llm.common import shared_folder, table
+from stemline.llm.common import held, shared_folder, table
 
 #: Id that ends a document.
 END_ID = 2
@@ -71,16 +71,11 @@ class WordEncoder:
         return b"".join(map(self._chunks.__getitem__, text.split()))
 
 
-_LOADED: dict[str, WordEncoder] = {}
-
-
 def _load(path: str) -> WordEncoder:
-    if path not in _LOADED:
-        import os
+    import os
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        _LOADED[path] = WordEncoder(path)
-    return _LOADED[path]
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return held(f"words and ids {path}", lambda: WordEncoder(path))
 
 
 def _store(uri: str):

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -247,6 +248,44 @@ def test_automaton_phrases():
         assert langid.SuffixAutomaton(s).phrases(t) == n
 
 
+def test_predictions_equal_a_plain_cross_parser(docs):
+    """Words, phrases, costs and scores restated with substring tests alone."""
+    import re
+
+    model = langid.fit(docs)
+    assert len(model) == 4 and all(len(t) > 10_000 for _, t in model)
+    small = [(g, t[:3000]) for g, t in model]
+    parser = langid.CrossParser(small)
+    bits = math.log2(max(len(t) for _, t in small) + 2)
+
+    def plain(text):
+        words = "".join(c if c.isalpha() or re.match(r"[^\W\d_]", c) else " " for c in text.lower()).split()
+        if not any(c.isalpha() for c in "".join(words)):
+            return "und", 0.0
+        parsed, costs = f" {' '.join(words)} ", []
+        for _, held in small:
+            n = k = 0
+            while k < len(parsed):
+                size = 1
+                while k + size < len(parsed) and parsed[k : k + size + 1] in held:
+                    size += 1
+                n, k = n + 1, k + size
+            costs.append(n * bits)
+        best = min(range(len(small)), key=costs.__getitem__)
+        return small[best][0], 1 / sum(2.0 ** max(-1000.0, costs[best] - c) for c in costs)
+
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(25).collect()] + ["", "123", "x", "né 中文 ñ", "²³", "The house is und der Hund la casa"]
+    for t in texts:
+        got, want = parser.predict(t), plain(t or "")
+        assert got[0] == want[0] and got[1] == pytest.approx(want[1]), t
+
+
+def test_memory_is_bounded_in_languages(spark):
+    rows = [(k, "words of a language " + chr(97 + k % 26) * 5 + " " + "more text " * 40, f"l{k % 100}") for k in range(1200)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model) == 100 and sum(len(t) for _, t in model) <= langid.ALL_CHARS + 100 * 30
+
+
 def test_language_with_long_words_or_little_text(spark):
     """A language without blanks is learned; one with hardly any labelled text, or no letters, doesn't take over."""
     rng = random.Random(5)
@@ -439,6 +478,48 @@ def test_embeddings(spark):
     assert embedding_dedup.embedding_groups(df.where("false")).count() == 0
 
 
+def dense_cluster(spark, n, dim, noise, label=0):
+    rng = np.random.default_rng(n)
+    centre = rng.normal(size=dim)
+    centre /= np.linalg.norm(centre)
+    x = centre + rng.normal(size=(n, dim)) * noise / math.sqrt(dim)
+    return spark.createDataFrame([(k, np.float32(v).tolist(), label) for k, v in enumerate(x)], "vec_id bigint, embedding array<float>, label int")
+
+
+def test_a_dense_cluster_is_dealt_once(spark):
+    """Rows grow with the vectors, not with their square: 20,000 distinct ones within the threshold of each other."""
+    dealt = {}
+    for n in (5000, 20_000):
+        df = dense_cluster(spark, n, 24, 0.2).select(F.col("vec_id"), F.col("embedding").alias("vector"), F.col("label").cast("string"), F.lit(True).alias("usable"))
+        dealt[n] = embedding_dedup._shards(embedding_dedup._classes(df).checkpoint()).count()
+    assert dealt[20_000] <= 1.5 * 20_000 and dealt[20_000] <= 5 * dealt[5000]
+
+
+@pytest.mark.parametrize("noise", [0.2, 0.36])
+def test_links_of_a_dense_cluster(spark, noise, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "SHARD", 300)
+    monkeypatch.setattr(embedding_dedup, "CELL", 200)
+    monkeypatch.setattr(embedding_dedup, "DENSE", 150)
+    df = dense_cluster(spark, 2500, 24, noise)
+    x = np.array([r["embedding"] for r in df.orderBy("vec_id").collect()], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    got = {r.vec_id: r for r in embedding_dedup.embedding_groups(df).collect()}
+    there, found = near.sum(axis=1) - 1, np.array([got[k].n_links for k in range(len(x))])
+    assert (found <= there).all() and found.sum() >= 0.97 * there.sum() and there.sum() > len(x)
+    if noise == 0.2:
+        assert (found == there).all() and {r.component_id for r in got.values()} == {0}
+
+
+def test_recall_on_the_stated_queries(spark):
+    """Vectors whose id is divisible by 20 against all, by brute force."""
+    path = "/root/testdata/check_s/embeddings.parquet"  # the smaller tables hold no links
+    if not os.path.exists(path):
+        pytest.skip("no such table here")
+    found, there = embedding_dedup.audit(spark.read.parquet(path))
+    assert there > 20 and found >= 0.9 * there
+
+
 def test_embedding_shards(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "SHARD", 150)
     rng = np.random.default_rng(9)
@@ -741,7 +822,6 @@ def test_near_copies_by_similarity(spark):
 
 def test_sql_of_registered_queries(spark):
     import glob
-    import os
 
     import duckdb
 

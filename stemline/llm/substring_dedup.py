@@ -33,7 +33,7 @@ GRAM, BACK = LENGTH - PERIOD + 1, PERIOD - 1
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 16 << 20
 
 _RNG = np.random.default_rng(0x5EED)
-_BYTE = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE, _SECOND = (_RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 _MUL = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_MUL, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
@@ -75,6 +75,13 @@ class Chunk:
     def hash(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         return _mix((self._sum[end] - self._sum[begin]) * self.mul[begin])
 
+    def second(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Another 64 bits of hash, by other numbers of the bytes."""
+        x = np.frombuffer(self.data, np.uint8)
+        total = np.zeros(len(x) + 1, np.uint64)
+        np.cumsum(_SECOND[x] * _powers(len(x))[1][: len(x)], out=total[1:])
+        return _mix((total[end] - total[begin]) * self.mul[begin])
+
     def around(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(begin, last start, end) of the strings that hold these sample suffixes."""
         doc = self.doc[some]
@@ -192,7 +199,7 @@ def _shared_grams(rows: list[bytes]) -> list[bytes]:
     return [(both[np.minimum(np.searchsorted(both, k), len(both) - 1)] == k).astype(np.uint8).tobytes() for k in keys]
 
 
-#: Answers on a context: an earlier document has it; none has, but another document has its gram in another context.
+#: Answers on a context (told apart by 64 bits and the 38 or more of its gram): an earlier document has it; none has, but another document has its gram in another context.
 FULL, EDGE = 1, 2
 
 
@@ -217,14 +224,27 @@ def _rank_contexts(rows: list[bytes]) -> list[bytes]:
 
 
 def _earlier_strings(rows: list[bytes]) -> list[bytes]:
-    n = [len(d) // 16 for d in rows]
+    """A bit for each string: does an earlier document hold it? Strings are told apart by 128 bits."""
+    n = [len(d) // 24 for d in rows]
     keys = np.concatenate([_widen(d[: 8 * k], "<u8", True) for d, k in zip(rows, n)])
-    ids = np.concatenate([_widen(d[8 * k :], "<i8") for d, k in zip(rows, n)])
-    _, place, least, _ = _first_of(keys, ids)
+    more = np.concatenate([_widen(d[8 * k : 16 * k], "<u8") for d, k in zip(rows, n)])
+    ids = np.concatenate([_widen(d[16 * k :], "<i8") for d, k in zip(rows, n)])
+    place, least = _classes_of(keys, more, ids)
     out = (ids > least[place]).astype(np.uint8)
     return [x.tobytes() for x in np.split(out, np.cumsum(n)[:-1])]
 
 
+def _classes_of(keys: np.ndarray, more: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each row, smallest id of each class): rows are of one class if both hashes are equal; classes go by the first one."""
+    order = np.lexsort((more, keys))
+    k, m = keys[order], more[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    place = np.empty(len(k), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return place, np.minimum.reduceat(ids[order], np.flatnonzero(new)) if len(k) else ids
+
+
 # ---- what a chunk asks, and what it makes of the answers
 
 class Work:
@@ -277,11 +297,15 @@ class Work:
         self.start = np.flatnonzero(np.cumsum(starts))
         self.start_id = t.ids[np.searchsorted(t.first, self.start, side="right") - 1] if len(self.start) else t.ids[:0]
         # documents without bytes share their first place with the next one; none of them has strings
-        self.strings, self.string, self.string_least, _ = _first_of(t.hash(self.start, self.start + LENGTH), self.start_id)
+        keys, more = t.hash(self.start, self.start + LENGTH), t.second(self.start, self.start + LENGTH) if len(self.start) else np.empty(0, np.uint64)
+        self.string, self.string_least = _classes_of(keys, more, self.start_id)
+        first = np.empty(len(self.string_least), np.int64)
+        first[self.string] = np.arange(len(self.string))
+        self.strings, self.strings_more = keys[first], more[first]
 
     def ask_strings(self) -> list[dict]:
         self._strings()
-        return _ask(self.row["chunk"], self.strings, self.bits, lambda s: _squeeze(self.strings[s], True) + _squeeze(self.string_least[s]))
+        return _ask(self.row["chunk"], self.strings, self.bits, lambda s: _squeeze(self.strings[s], True) + _squeeze(self.strings_more[s]) + _squeeze(self.string_least[s]))
 
     def spans(self) -> Iterator[tuple[int, bytes, list[tuple[int, int]]]]:
         """(doc_id, text, removed spans) of each document."""

@@ -218,6 +218,12 @@ def test_passages_at_any_shift(spark):
     test_substring_dedup("", Fixture())
 
 
+def test_strings_are_told_apart_by_both_hashes():
+    keys, more, ids = (np.array(x, np.uint64) for x in ([5, 5, 5, 2], [1, 2, 1, 1], [7, 3, 6, 9]))
+    place, least = substring_dedup._classes_of(keys, more, ids.astype(np.int64))
+    assert place.tolist() == [1, 2, 1, 0] and least.tolist() == [9, 6, 3]
+
+
 def test_cover_has_each_distance():
     gaps = Counter((a - b) % substring_dedup.PERIOD for a in substring_dedup.COVER for b in substring_dedup.COVER if a != b)
     assert all(gaps[d] == 1 for d in range(1, substring_dedup.PERIOD))

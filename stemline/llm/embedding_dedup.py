@@ -216,12 +216,13 @@ def _grouped(units: np.ndarray) -> np.ndarray:
 
 
 def _lists(held: DataFrame, threshold: float) -> DataFrame:
-    """(class_id, near, close): the lists that a class has from all its shards, united, and those of them that reach the threshold."""
+    """(class_id, near, close): the lists that a class has from all its shards, united, and those of them that a search would go on from."""
 
     def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("class_id")  # the same graph, however rows arrive
         ids, x = rows["class_id"].to_numpy(), unit_rows(rows["vector"].to_pylist())
         lists = build_graph(x, int(rows["shard"][0].as_py()) & 0xFFFF)
-        close = [ids[[j for j, s in zip(out, (x[out] @ x[i]).tolist()) if s >= threshold - 1e-9]].tolist() if out else [] for i, out in enumerate(lists)]
+        close = [ids[[j for j, s in zip(out, (x[out] @ x[i]).tolist()) if s >= threshold - SLACK]].tolist() if out else [] for i, out in enumerate(lists)]
         return pa.table({"class_id": ids, "near": pa.array([ids[out].tolist() for out in lists], pa.list_(pa.int64())), "close": pa.array(close, pa.list_(pa.int64()))})
 
     lists = held.select("shard", "class_id", "vector").groupBy("shard").applyInArrow(run, "class_id bigint, near array<bigint>, close array<bigint>")
@@ -233,12 +234,12 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(class_id, others, root): for each class the vectors in other classes that it links with, and links that join what is linked.
 
     A class is searched for once, in its home shard, over the members of the shard and
-    the halo: neighbours in the united lists of those at home there that reach the threshold, though dealt elsewhere. Rows with others null only carry a link.
+    the halo: neighbours in the united lists of its members, dealt elsewhere, that are near enough for a search to go on from them. Rows with others null only carry a link.
     """
     held = checkpoint(_shards(classes))
     lists = checkpoint(_lists(held, threshold))
     seats = held.select("shard", "class_id", "home")
-    near = seats.where("home").join(lists, "class_id").select("shard", F.explode("close").alias("class_id")).distinct()
+    near = seats.join(lists, "class_id").select("shard", F.explode("close").alias("class_id")).distinct()
     halo = near.join(seats.select("shard", "class_id"), ["shard", "class_id"], "left_anti").withColumn("home", F.lit(False))
     every = seats.withColumn("member", F.lit(True)).unionByName(halo.withColumn("member", F.lit(False)))
     graph = every.join(lists.drop("close"), "class_id").join(classes.select("class_id", "vector", "members"), "class_id")

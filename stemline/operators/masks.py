@@ -172,7 +172,8 @@ def merge_masks(mask_points: DataFrame, masks: DataFrame, least_iou: float = 0.6
 def greedy_suppress(mask_points: DataFrame, masks: DataFrame, most: float = 0.3) -> DataFrame:
     """(scan_id, point_id, mask_id): by falling score, a mask is dropped if over `most` of its points are taken; kept ones overwrite.
 
-    Each mask's fate hangs on all before it: a scan is one task's, as (mask, point) pairs.
+    A mask's fate hangs on those before it that it shares points with, and on what theirs hangs on: what overlaps join is one task's, as (mask,
+    point) pairs, and masks apart from it go elsewhere.
     """
     import numpy as np
     import pandas as pd
@@ -188,13 +189,15 @@ def greedy_suppress(mask_points: DataFrame, masks: DataFrame, most: float = 0.3)
         kept = owner >= 0
         return pd.DataFrame({"scan_id": pdf["scan_id"].iloc[0], "point_id": places[kept], "mask_id": owner[kept]})
 
-    return mask_points.join(masks.select(*KEY, "score_pct"), KEY).groupBy("scan_id").applyInPandas(run, "scan_id int, point_id bigint, mask_id bigint")
+    root = components(overlaps(mask_points), masks)
+    held = mask_points.select(*KEY, "point_id").join(masks.select(*KEY, "score_pct").join(root, KEY), KEY)
+    return held.groupBy("scan_id", "root").applyInPandas(run, "scan_id int, point_id bigint, mask_id bigint")
 
 
 def pairwise_suppress(mask_points: DataFrame, masks: DataFrame, most: float = 0.3) -> DataFrame:
     """Masks left when, pair after pair in order of id, of two that overlap by over `most` of either the lower-scored goes, the earlier staying on a tie.
 
-    Pairs are found by joins; the pass over them is one task's a scan.
+    Pairs are found by joins; the pass over those that pairs join is one task's.
     """
     import pandas as pd
 
@@ -209,5 +212,7 @@ def pairwise_suppress(mask_points: DataFrame, masks: DataFrame, most: float = 0.
                 gone.add(b if sa >= sb else a)
         return pd.DataFrame({"scan_id": pdf["scan_id"].iloc[0], "mask_id": sorted(gone)}, columns=["scan_id", "mask_id"])
 
-    gone = pair.select("scan_id", "a", "b", "sa", "sb").groupBy("scan_id").applyInPandas(run, "scan_id int, mask_id bigint")
+    pair = hold(pair.select("scan_id", "a", "b", "sa", "sb"))
+    root = components(pair, pair.select("scan_id", F.explode(F.array("a", "b")).alias("mask_id")).distinct())
+    gone = pair.join(root.withColumnRenamed("mask_id", "a"), ["scan_id", "a"]).groupBy("scan_id", "root").applyInPandas(run, "scan_id int, mask_id bigint")
     return s.join(gone, KEY, "left_anti")

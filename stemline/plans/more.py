@@ -175,3 +175,22 @@ on_points(
     lambda p: p.select(F.concat(F.lit("data/"), F.element_at(F.array(F.lit("train"), F.lit("val"), F.lit("test"), F.lit("other")), (F.col("scan_id") + 1).cast("int")), F.lit("/"), F.col("scan_id").cast("string")).alias("path"), "point_id").withColumn("split", text.split_of(F.col("path"))).groupBy("path", "split").agg(F.count(F.lit(1)).alias("n")),
     " select 'data/' || ['train', 'val', 'test', 'other'][scan_id + 1] || '/' || scan_id as path, case scan_id when 0 then 'train' when 1 then 'val' when 2 then 'test' end as split, count(*) as n from points group by scan_id",
 )
+
+# ---- SQL of queries beside these
+
+_MOVE = lambda k: " + ".join(
+    f"(cast('0x' || substr(md5('7|{k}|' || (kx + {c & 1}) || '|' || (ky + {c >> 1 & 1}) || '|' || (kz + {c >> 2 & 1})), 1, 6) as bigint) / 8388608.0 - 1)"
+    + "".join(f" * {'f' + a if c >> i & 1 else '(1 - f' + a + ')'}" for i, a in enumerate("xyz"))
+    for c in range(8)
+)
+catalog.SQL["elastic"] = views.WITH + f""",
+la as (select *, {", ".join(f"cast(floor({a}_cm / 600.0) as bigint) as k{a}, {a}_cm / 600.0 - floor({a}_cm / 600.0) as f{a}" for a in "xyz")} from points)
+select scan_id, point_id, {", ".join(f"round({a}_cm + 40.0 * ({_MOVE(k)}), 4) as {a}" for k, a in enumerate("xyz"))} from la"""
+catalog._on(
+    ("embeddings",), "mahalanobis_plane", lambda e: losses.mahalanobis(e, 2),
+    """with e as (select vec_id, label, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y from embeddings),
+m as (select label, avg(x) as mx, avg(y) as my, covar_samp(x, x) + 1e-6 as a, covar_samp(x, y) as b, covar_samp(y, y) + 1e-6 as d from e group by label),
+q as (select vec_id, e.label, (d * (x - mx) * (x - mx) - 2 * b * (x - mx) * (y - my) + a * (y - my) * (y - my)) / (a * d - b * b) as d2 from e join m on e.label = m.label)
+select vec_id, label, round(d2, 4) as d2, round(exp(-d2), 6) as score from q""",
+    True,
+)

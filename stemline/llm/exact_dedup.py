@@ -42,7 +42,7 @@ def _collapse(parts: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
     held = None
     for part in parts:
         if held is not None:
-            part = pa.concat_tables([held, part])
+            part = pa.concat_tables([held.select(part.column_names), part])
         n = part.num_rows
         if not n:
             continue

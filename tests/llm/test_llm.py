@@ -99,6 +99,18 @@ def test_many_runs(spark):
     assert sorted((r.keep_id, r.members) for r in got) == [(k, 858 if k < 1 else 857) for k in range(7)]
 
 
+def test_merge_over_several_batches(spark):
+    df = spark.range(1000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), F.col("id") % 300).alias("text")).repartition(4)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "10")
+    try:
+        got = exact_dedup.merge_runs(exact_dedup.digests(df).checkpoint()).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sorted((r.keep_id, r.members) for r in got) == [(k, 4 if k < 100 else 3) for k in range(300)]
+
+
 @pytest.mark.parametrize("which", ["docs", "odd", "none"])
 def test_token_files(spark, which, request, tmp_path):
     from tokenizers import Tokenizer

@@ -71,6 +71,15 @@ def test_nearest_sample_like_brute_force(spark):
         assert (r.vx, r.vy, r.vz) == best[1]
 
 
+def test_nearest_sample_is_never_broadcast(spark, tmp_path):
+    # a small file, of which Spark thinks that what its rows turn into is small, too
+    cloud(spark, [(k % 50, k % 70, k % 90, 0, 0, 0, -1, 50) for k in range(500)]).write.parquet(str(tmp_path / "p"))
+    got = geo.nearest_sample(spark.read.parquet(str(tmp_path / "p")))
+    assert got.count() == 500
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_suppression_keeps_exactly_three_tenths(spark):
     mp = spark.createDataFrame([(0, 1, k) for k in range(10)] + [(0, 2, k) for k in range(7, 17)] + [(0, 3, k) for k in (0, 1, 2, 3, 20, 21, 22, 23, 24, 25)], "scan_id int, mask_id bigint, point_id bigint")
     m = spark.createDataFrame([(0, 1, 90, 10), (0, 2, 80, 10), (0, 3, 70, 10)], "scan_id int, mask_id bigint, score_pct int, n_points bigint")

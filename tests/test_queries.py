@@ -7,7 +7,9 @@ import os
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from stemline.operators import losses
 from stemline.plans import catalog, views
 
 SF = "/root/testdata/sf0.001"
@@ -109,6 +111,36 @@ def test_assignment_is_cheapest():
         assert sum(c[i, j] for i, j in pairs) == pytest.approx(least)
 
 
+def test_sparse_assignment_is_cheapest():
+    from stemline.operators.losses import assignment, sparse_assignment
+
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        n, m = (int(k) for k in rng.integers(1, 12, 2))
+        met = rng.random((n, m)) < rng.random()
+        met[np.arange(n), rng.integers(0, m, n)] = True  # every row is in a pair
+        cost = np.where(met, rng.random((n, m)).round(1) * 0.9, 1.0)
+        i, j = np.nonzero(met)
+        kept = sparse_assignment(i.tolist(), j.tolist(), cost[i, j].tolist())
+        assert len(set(i[kept])) == len(set(j[kept])) == len(kept)
+        assert sum(1 - cost[i[kept], j[kept]]) == pytest.approx(sum(1 - cost[a, b] for a, b in assignment(cost)))
+
+
+def test_hungarian_holds_no_matrix(spark):
+    # two masks a tree; as a matrix of all masks and trees this would be 320 GB
+    n = 150_000
+    costs = spark.range(2 * n).select(F.lit(0).alias("scan_id"), F.col("id").alias("mask_id"), F.floor(F.col("id") / 2).alias("instance_gt"), F.when(F.col("id") % 2 == 0, 0.75).otherwise(0.25).alias("dice"))
+    got = losses.hungarian(costs)
+    assert got.agg(F.count("*"), F.min(F.col("mask_id") - 2 * F.col("instance_gt")), F.max(F.col("mask_id") - 2 * F.col("instance_gt"))).first()[:] == (n, 1, 1)
+
+
+def test_hungarian_takes_less_for_all(spark):
+    # tree 10 is the cheapest for both masks of a chain, and mask 1 can only have it; scans are matched apart
+    rows = [(0, 1, 10, 0.5), (0, 2, 10, 0.1), (0, 2, 11, 0.2), (0, 3, 11, 0.95), (0, 4, 12, 1.0), (1, 1, 10, 0.3)]
+    got = losses.hungarian(spark.createDataFrame(rows, "scan_id int, mask_id bigint, instance_gt bigint, dice double"))
+    assert sorted(map(tuple, got.collect())) == [(0, 1, 10), (0, 2, 11), (1, 1, 10)]
+
+
 def test_mahalanobis(spark):
     got = {r.vec_id: r.d2 for r in catalog.QUERIES["mahalanobis"](spark, SF).collect()}
     e = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()

@@ -852,3 +852,31 @@ def test_sql_of_registered_queries(spark):
         names = [d[0] for d in r.description]
         ours = sorted(tuple(x[c] for c in names) for x in queries.QUERIES[name](spark, SF).select(names).collect())
         assert ours == sorted(r.fetchall()), name
+
+
+def test_replaced_models_leave_no_memory_behind():
+    import subprocess
+    import sys
+
+    code = """
+import os
+from stemline.llm.common import held
+mb = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+before = mb()
+pins = []
+def model():
+    out = []
+    for k in range(200_000):
+        out.append(bytes(1000))
+        if k % 100 == 0:
+            pins.append(bytes(1000))
+    return out
+held("a", model)
+full = mb()
+held("b", dict)
+print(before, full, mb())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    got = subprocess.run([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True).stdout
+    before, full, after = map(int, got.split())
+    assert full - before > 180 and after - before < 60

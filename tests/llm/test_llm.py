@@ -697,6 +697,14 @@ def test_decisions_are_a_code():
     assert total == pytest.approx(1, abs=1e-5)
 
 
+def test_first_weights_are_fitted_to_all_training_texts(docs, monkeypatch):
+    fit, got = context_mixing._fit_pairs, []
+    monkeypatch.setattr(context_mixing, "FIT_SHARE", 1 << 40)  # an empty start
+    monkeypatch.setattr(context_mixing, "_fit_pairs", lambda *a: got.append(fit(*a)) or got[-1])
+    assert context_mixing.lm_scores(docs.limit(60)).count() == 60
+    assert not np.allclose(got[0], context_mixing.FIRST)
+
+
 def test_weights_learn_within_short_texts(monkeypatch):
     mixer = small_model(LM_TEXTS)
     number = context_mixing._numbered(mixer.words, [b"the mat".split() * 60])

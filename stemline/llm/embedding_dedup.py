@@ -8,8 +8,7 @@ range expands everything in range. What it finds is verified in double precision
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,25 +31,43 @@ CELL = 1000
 NEAR, GROUP = 0.75, 24
 #: Search: beam, how far below the threshold a vector is still expanded, and vectors met (or a sixteenth of the shard, if that is more) from which a query is compared with all.
 BEAM, SLACK, DENSE = 32, 0.2, 1500
+#: What is done side by side: places of a beam from which a query goes on in a round, marks of vectors met by queries; longest list whose distances are all worked out.
+AT_ONCE, MARKS, WIDE = 4, 1 << 22, 2000
 
 
-def unit_rows(vectors: list) -> np.ndarray:
+def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     x = np.array(vectors, np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def robust_prune(near: np.ndarray, distance: np.ndarray, between: np.ndarray) -> list[int]:
-    """Of candidates sorted by distance: each that no kept one is ALPHA times nearer to, up to DEGREE."""
-    alive, kept = np.ones(len(near), bool), []
-    for k in range(len(near)):
-        if alive[k]:
-            kept.append(k)
-            if len(kept) == DEGREE:
-                break
-            alive &= ALPHA * between[k] > distance
+def rows_of(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one dimension, none of them null."""
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+
+
+def robust_prune(distance: np.ndarray, between: Callable[[np.ndarray, int], np.ndarray]) -> np.ndarray:
+    """Which candidates are kept, a row of them for each vector: each that no kept one is ALPHA times nearer to, up to DEGREE.
+
+    Distances are squared and sorted, infinite where there is no candidate; between(rows, k) gives those of the rows' k-th candidates to the ones behind.
+    """
+    alive, kept = np.isfinite(distance), np.zeros(distance.shape, bool)
+    left = np.full(len(distance), DEGREE)
+    for k in range(distance.shape[1]):
+        rows = np.flatnonzero(alive[:, k] & (left > 0))
+        kept[rows, k] = True
+        left[rows] -= 1
+        alive[rows, k + 1 :] &= ALPHA**2 * between(rows, k) > distance[rows, k + 1 :]
     return kept
 
 
+def dots(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """x[a] times x[b], row by row."""
+    out = np.empty(len(a))
+    for k in range(0, len(a), 4096):
+        np.einsum("ij,ij->i", x[a[k : k + 4096]], x[b[k : k + 4096]], out=out[k : k + 4096])
+    return out
+
+
 def _cells(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
     """Overlapping clusters of CELL vectors, about: each vector is in those of the two sampled ones that are nearest."""
     n = len(x)
@@ -66,74 +83,113 @@ def _cells(x: np.ndarray, rng: np.random.Generator) -> Iterator[np.ndarray]:
             yield np.sort(part)
 
 
-def build_graph(x: np.ndarray, seed: int) -> list[list[int]]:
-    """Lists of neighbours of the unit vectors x, found cell by cell, pruned, united and made mutual; the work grows with len(x) * CELL."""
+def build_graph(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where lists begin, neighbours) of the unit vectors x, found cell by cell, pruned, united and made mutual; the work grows with len(x) * CELL."""
     n = len(x)
     rng = np.random.default_rng(seed)
-    lists: list[list[int]] = [[] for _ in range(n)]
-    if n < 2:
-        return lists
+    edges = [np.empty(0, np.int64)]
     for cell in _cells(x, rng):
         m, y = len(cell), x[cell]
         pool = min(POOL, m - 1)
-        for a in range(0, m if pool > 0 else 0, 256):
-            sims = y[a : a + 256] @ y.T
-            sims[np.arange(len(sims)), np.arange(a, a + len(sims))] = -2
-            top = np.argpartition(-sims, pool - 1, axis=1)[:, :pool]
-            for i in range(len(sims)):
-                far = rng.integers(0, m, FAR)
-                c = np.unique(np.concatenate([top[i], far[far != a + i]]))
-                d = np.sqrt(np.maximum(0, 2 - 2 * sims[i, c]))
-                order = np.argsort(d, kind="stable")
-                c, d = c[order], d[order]
-                between = np.sqrt(np.maximum(0, 2 - 2 * (y[c] @ y[c].T)))
-                lists[cell[a + i]] += cell[c[robust_prune(c, d, between)]].tolist()
-    back: list[list[int]] = [[] for _ in range(n)]
-    for i, out in enumerate(lists):
-        for j in out:
-            back[j].append(i)
-    for i in range(n):
-        both = list(dict.fromkeys(lists[i] + back[i]))
-        if len(both) > 2 * DEGREE:
-            c = np.array(both)
-            d = np.sqrt(np.maximum(0, 2 - 2 * (x[c] @ x[i])))
-            order = np.argsort(d, kind="stable")
-            c, d = c[order], d[order]
-            both = c[robust_prune(c, d, np.sqrt(np.maximum(0, 2 - 2 * (x[c] @ x[c].T))))].tolist()
-        lists[i] = both
-    return lists
-
-
-def range_search(x: np.ndarray, lists: list[np.ndarray], medoid: int, q: int, threshold: float) -> np.ndarray | None:
-    """Places of vectors whose cosine with x[q] reaches the threshold, q left out; None once so many vectors are met that comparing all is less work."""
-    query = x[q]
-    seen = {medoid, q}
-    start = float(x[medoid] @ query)
-    beam, todo, hits = [start], [(-start, medoid), (-1.0, q)], []
-    heapq.heapify(todo)
-    floor, most = threshold - SLACK, max(DENSE, len(x) // 16)
-    while todo:
-        if len(seen) > most:
-            return None
-        s, i = heapq.heappop(todo)
-        s = -s
-        if s < floor and len(beam) >= BEAM and s < beam[0]:
-            break
-        new = [j for j in lists[i] if j not in seen]
-        if not new:
+        if pool < 1:
             continue
-        seen.update(new)
-        sims = x[new] @ query
-        for j, t in zip(new, sims.tolist()):
-            if t >= threshold - 1e-9:
-                hits.append(j)
-            if t >= floor or len(beam) < BEAM or t > beam[0]:
-                heapq.heappush(todo, (-t, j))
-                if t < floor:
-                    heapq.heappush(beam, t) if len(beam) < BEAM else heapq.heappushpop(beam, t)
-    if start >= threshold - 1e-9 and medoid != q:
-        hits.append(medoid)
-    return np.array(hits, np.int64)
+        apart = y @ y.T
+        apart *= -2
+        apart += 2
+        np.maximum(apart, 0, out=apart)
+        np.fill_diagonal(apart, np.inf)
+        top = np.concatenate([np.argpartition(apart[a : a + 256], pool - 1, axis=1)[:, :pool] for a in range(0, m, 256)])
+        c = np.sort(np.concatenate([top, rng.integers(0, m, (m, FAR))], axis=1), axis=1)
+        d = np.take_along_axis(apart, c, axis=1)
+        d[:, 1:][c[:, 1:] == c[:, :-1]] = np.inf
+        order = np.argsort(d, axis=1, kind="stable")
+        c, d = np.take_along_axis(c, order, axis=1), np.take_along_axis(d, order, axis=1)
+        i, k = np.nonzero(robust_prune(d, lambda rows, k, apart=apart, c=c: apart[c[rows, k, None], c[rows, k + 1 :]]))
+        edges.append(cell[i] * n + cell[c[i, k]])
+    edge = np.concatenate(edges)
+    edge = np.unique(np.concatenate([edge, edge % max(n, 1) * n + edge // max(n, 1)]))
+    of, near = np.divmod(edge, max(n, 1))
+    size = np.bincount(of, minlength=n)
+    start, stay = np.cumsum(size) - size, np.ones(len(near), bool)
+    long = np.flatnonzero(size > 2 * DEGREE)
+    long = long[np.argsort(-size[long], kind="stable")]
+    a = 0
+    while a < len(long):
+        width = int(size[long[a]])
+        some = long[a : a + max(1, WIDE**2 // width**2)]
+        a += len(some)
+        there = np.arange(width) < size[some, None]
+        at = np.where(there, start[some, None] + np.arange(width), start[some, None])
+        y = x[near[at]]
+        d = np.where(there, np.maximum(0, 2 - 2 * (y @ x[some][:, :, None])[:, :, 0]), np.inf)
+        order = np.argsort(d, axis=1, kind="stable")
+        at, d, y = np.take_along_axis(at, order, axis=1), np.take_along_axis(d, order, axis=1), np.take_along_axis(y, order[:, :, None], axis=1)
+        if width <= WIDE:
+            apart = 2 - 2 * (y @ y.transpose(0, 2, 1))
+            kept = robust_prune(d, lambda rows, k, apart=apart: apart[rows, k, k + 1 :])
+        else:  # what very many are near to, row by row
+            kept = robust_prune(d, lambda rows, k, y=y: 2 - 2 * (y[rows, k + 1 :] @ y[rows, k][:, :, None])[:, :, 0])
+        stay[at[np.isfinite(d) & ~kept]] = False
+    return np.concatenate([[0], np.cumsum(np.bincount(of[stay], minlength=n))]), near[stay]
+
+
+def _range_search(x: np.ndarray, begin: np.ndarray, near: np.ndarray, medoid: int, asked: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """range_search of a few queries, side by side: each round a query goes on from all it has newly met in range or, if there are none, from the best of its beam."""
+    n, r, size = len(x), len(asked), np.diff(begin)
+    floor, most = threshold - SLACK, max(DENSE, n // 16)
+    rows = np.arange(r)
+    seen, last = np.zeros(r * n, bool), np.empty(r * n, np.int32)
+    seen[rows * n + medoid] = seen[rows * n + asked] = True
+    start = dots(x, asked, np.full(r, medoid))
+    hit = (start >= threshold - 1e-9) & (asked != medoid)
+    of, hits = [rows[hit]], [np.full(hit.sum(), medoid)]
+    met, least = np.full(r, 2), np.full(r, -np.inf)
+    beam, sims, new, fresh = rows, start, np.full(r, medoid), np.zeros(r, bool)  # of all queries, by query and from the best on; fresh: not gone on from
+    row, node = np.tile(rows, 2), np.concatenate([asked, new])
+    while len(row):
+        count = size[node]
+        flat = np.arange(count.sum()) + np.repeat(begin[node] - (np.cumsum(count) - count), count)
+        row, node = np.repeat(row, count), near[flat]
+        key = row * n + node
+        some = np.flatnonzero(~seen[key])
+        key = key[some]
+        last[key] = np.arange(len(key), dtype=np.int32)
+        one = last[key] == np.arange(len(key), dtype=np.int32)  # met twice in a round
+        seen[key] = True
+        row, node = row[some[one]], node[some[one]]
+        met += np.bincount(row, minlength=r)
+        going = met <= most
+        row, node = row[going[row]], node[going[row]]
+        s = dots(x, asked[row], node)
+        hit, inside = s >= threshold - 1e-9, s >= floor
+        of.append(row[hit])
+        hits.append(node[hit])
+        stay, better = going[beam], ~inside & (s > least[row])
+        beam, sims, new = np.concatenate([beam[stay], row[better]]), np.concatenate([sims[stay], s[better]]), np.concatenate([new[stay], node[better]])
+        fresh = np.concatenate([fresh[stay], np.ones(better.sum(), bool)])
+        order = np.argsort(beam + (1 - sims) / 4)
+        beam, sims, new, fresh = beam[order], sims[order], new[order], fresh[order]
+        many = np.bincount(beam, minlength=r)
+        rank = np.arange(len(beam)) - np.repeat(np.cumsum(many) - many, many)
+        least[beam[rank == BEAM - 1]] = sims[rank == BEAM - 1]
+        stay = rank < BEAM
+        beam, sims, new, fresh = beam[stay], sims[stay], new[stay], fresh[stay]
+        many, upto = np.bincount(beam, minlength=r), np.cumsum(fresh)
+        before = np.concatenate([[0], upto])[np.cumsum(many) - many]
+        row, node = row[inside], node[inside]
+        go = fresh & (upto - np.repeat(before, many) <= AT_ONCE) & (np.bincount(row, minlength=r) == 0)[beam]
+        fresh = fresh & ~go
+        row, node = np.concatenate([row, beam[go]]), np.concatenate([node, new[go]])
+    of, hits = np.concatenate(of), np.concatenate(hits)
+    done = met <= most
+    return asked[of[done[of]]], hits[done[of]], asked[~done]
+
+
+def range_search(x: np.ndarray, begin: np.ndarray, near: np.ndarray, medoid: int, asked: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place) of vectors whose cosine with x[query] reaches the threshold, the query left out, for all that are asked; and the queries that meet so many vectors that comparing all is less work."""
+    step = max(1, MARKS // max(1, len(x)))
+    parts = [_range_search(x, begin, near, medoid, asked[a : a + step], threshold) for a in range(0, len(asked), step)]
+    return tuple(np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
 
 
 def cosine_at_least(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
@@ -166,10 +222,10 @@ def _shards(classes: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
-            labels, vectors = batch["label"].to_pylist(), batch["vector"].to_pylist()
+            labels, vectors = batch["label"].to_pylist(), batch["vector"]
             row, shard, home = [], [], []
             groups: dict[tuple, list[int]] = {}
-            for i, key in enumerate(zip(labels, map(len, vectors))):
+            for i, key in enumerate(zip(labels, vectors.value_lengths().to_pylist())):
                 groups.setdefault(key, []).append(i)
             for key, at in groups.items():
                 base = number[key] << 32
@@ -181,7 +237,7 @@ def _shards(classes: DataFrame) -> DataFrame:
                 units, group = known[key]
                 for k in range(0, len(at), 256):
                     some = at[k : k + 256]
-                    sims = unit_rows([vectors[i] for i in some]) @ units.T
+                    sims = unit_rows(rows_of(vectors.take(pa.array(some, pa.int64())))) @ units.T
                     best = group[sims.argmax(axis=1)]
                     a, b = np.nonzero(sims >= sims.max(axis=1, keepdims=True) - MARGIN)
                     a, b = np.divmod(np.unique(a * len(group) + group[b]), len(group))
@@ -220,10 +276,13 @@ def _lists(held: DataFrame, threshold: float) -> DataFrame:
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("class_id")  # the same graph, however rows arrive
-        ids, x = rows["class_id"].to_numpy(), unit_rows(rows["vector"].to_pylist())
-        lists = build_graph(x, int(rows["shard"][0].as_py()) & 0xFFFF)
-        close = [ids[[j for j, s in zip(out, (x[out] @ x[i]).tolist()) if s >= threshold - SLACK]].tolist() if out else [] for i, out in enumerate(lists)]
-        return pa.table({"class_id": ids, "near": pa.array([ids[out].tolist() for out in lists], pa.list_(pa.int64())), "close": pa.array(close, pa.list_(pa.int64()))})
+        ids, x = rows["class_id"].to_numpy(), unit_rows(rows_of(rows["vector"].combine_chunks()))
+        begin, near = build_graph(x, int(rows["shard"][0].as_py()) & 0xFFFF)
+        of = np.repeat(np.arange(len(ids)), np.diff(begin))
+        close = dots(x, of, near) >= threshold - SLACK
+        fewer = np.concatenate([[0], np.cumsum(np.bincount(of[close], minlength=len(ids)))])
+        lists = [pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(ids[v], pa.int64())) for b, v in ((begin, near), (fewer, near[close]))]
+        return pa.table({"class_id": ids, "near": lists[0], "close": lists[1]})
 
     lists = held.select("shard", "class_id", "vector").groupBy("shard").applyInArrow(run, "class_id bigint, near array<bigint>, close array<bigint>")
     united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close")]
@@ -247,31 +306,28 @@ def links(classes: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by("class_id")
         ids, weight = rows["class_id"].to_numpy(), rows["members"].to_numpy()
-        raw = np.array(rows["vector"].to_pylist(), np.float64)
-        x = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        flat, size = rows["near"].combine_chunks().flatten().to_numpy(), np.array([len(v) for v in rows["near"].to_pylist()], np.int64)
+        raw = rows_of(rows["vector"].combine_chunks())
+        x = unit_rows(raw)
+        lists_ = rows["near"].combine_chunks()
+        flat, of = lists_.flatten().to_numpy(), np.repeat(np.arange(len(ids)), lists_.value_lengths().to_numpy())
         at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
         here = ids[at] == flat
-        cut = np.cumsum(size)[:-1]
-        lists_ = [a[h].tolist() for a, h in zip(np.split(at, cut), np.split(here, cut))]
+        begin = np.concatenate([[0], np.cumsum(np.bincount(of[here], minlength=len(ids)))])
         member = rows["member"].to_numpy(zero_copy_only=False)
         medoid = int(np.argmax(np.where(member, x @ x[member].mean(axis=0), -2)))
         forest, asked = Forest(len(ids)), np.flatnonzero(rows["home"].to_numpy(zero_copy_only=False))
-        found, dense = [], []
-        for q in asked.tolist():
-            hit = range_search(x, lists_, medoid, q, threshold)
-            if hit is None:
-                dense.append(q)
-                continue
-            if len(hit):
-                hit = hit[cosine_at_least(raw[hit], np.broadcast_to(raw[q], (len(hit), raw.shape[1])), threshold)]
-                found.append(hit * len(ids) + q)
-            for j in hit.tolist():
-                forest.join(q, j)
+        q, hit, dense = range_search(x, begin, at[here], medoid, asked, threshold)
+        found = []
+        for a in range(0, len(q), 4096):
+            some, other = q[a : a + 4096], hit[a : a + 4096]
+            true = cosine_at_least(raw[other], raw[some], threshold)
+            found.append(other[true] * len(ids) + some[true])
+            for i, j in zip(some[true].tolist(), other[true].tolist()):
+                forest.join(i, j)
         roots, links_ = np.array([forest.root(i) for i in range(len(ids))], np.int64), {}
         sparse = np.setdiff1d(asked, dense)
         for a in range(0, len(dense), 128):  # queries whose links are a good part of the shard: against all, in blocks
-            some = np.array(dense[a : a + 128])
+            some = dense[a : a + 128]
             sims = x[some] @ x.T
             hit = sims >= threshold
             i, j = np.nonzero(np.abs(sims - threshold) < 1e-9)

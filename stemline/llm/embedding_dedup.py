@@ -31,8 +31,8 @@ CELL = 1000
 NEAR, GROUP = 0.75, 24
 #: Search: beam, how far below the threshold a vector is still expanded, and vectors met (or a sixteenth of the shard, if that is more) from which a query is compared with all.
 BEAM, SLACK, DENSE = 32, 0.2, 1500
-#: What is done side by side: places of a beam from which a query goes on in a round, marks of vectors met by queries; longest list whose distances are all worked out.
-AT_ONCE, MARKS, WIDE = 4, 1 << 22, 2000
+#: What is done side by side: places of a beam, and places in range, from which a query goes on in a round; marks of vectors met by queries; longest list whose distances are all worked out.
+AT_ONCE, IN_RANGE, MARKS, WIDE = 4, 16, 1 << 22, 2000
 
 
 def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
@@ -134,7 +134,7 @@ def build_graph(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _range_search(x: np.ndarray, begin: np.ndarray, near: np.ndarray, medoid: int, asked: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """range_search of a few queries, side by side: each round a query goes on from all it has newly met in range or, if there are none, from the best of its beam."""
+    """range_search of a few queries, side by side: each round a query goes on from IN_RANGE of those it has met in range or, if there are none, from the best of its beam."""
     n, r, size = len(x), len(asked), np.diff(begin)
     floor, most = threshold - SLACK, max(DENSE, n // 16)
     rows = np.arange(r)
@@ -146,6 +146,7 @@ def _range_search(x: np.ndarray, begin: np.ndarray, near: np.ndarray, medoid: in
     met, least = np.full(r, 2), np.full(r, -np.inf)
     beam, sims, new, fresh = rows, start, np.full(r, medoid), np.zeros(r, bool)  # of all queries, by query and from the best on; fresh: not gone on from
     row, node = np.tile(rows, 2), np.concatenate([asked, new])
+    later, wait = np.empty(0, np.int64), np.empty(0, np.int64)  # met in range, by query
     while len(row):
         count = size[node]
         flat = np.arange(count.sum()) + np.repeat(begin[node] - (np.cumsum(count) - count), count)
@@ -176,7 +177,13 @@ def _range_search(x: np.ndarray, begin: np.ndarray, near: np.ndarray, medoid: in
         beam, sims, new, fresh = beam[stay], sims[stay], new[stay], fresh[stay]
         many, upto = np.bincount(beam, minlength=r), np.cumsum(fresh)
         before = np.concatenate([[0], upto])[np.cumsum(many) - many]
-        row, node = row[inside], node[inside]
+        stay = going[later]
+        row, node = np.concatenate([later[stay], row[inside]]), np.concatenate([wait[stay], node[inside]])
+        order = np.argsort(row, kind="stable")
+        row, node = row[order], node[order]
+        some = np.bincount(row, minlength=r)
+        now = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some) < IN_RANGE
+        later, wait, row, node = row[~now], node[~now], row[now], node[now]
         go = fresh & (upto - np.repeat(before, many) <= AT_ONCE) & (np.bincount(row, minlength=r) == 0)[beam]
         fresh = fresh & ~go
         row, node = np.concatenate([row, beam[go]]), np.concatenate([node, new[go]])

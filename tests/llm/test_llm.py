@@ -8,10 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from stemline.llm import bpe, context_mixing, embedding_dedup, exact_dedup, html_extract, langid, mixing, near_dedup, queries, simhash, substring_dedup, token_files
+from stemline.llm import bpe, common, context_mixing, embedding_dedup, exact_dedup, html_extract, langid, mixing, near_dedup, queries, simhash, substring_dedup, token_files
 from stemline.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -769,6 +770,25 @@ def test_first_weights_are_fitted_to_all_training_texts(docs, monkeypatch):
     assert not np.allclose(got[0], context_mixing.FIRST)
 
 
+def test_counting_lets_an_earlier_model_go():
+    common._HELD["words of another run"] = np.zeros(10)
+    got = list(context_mixing._counted(iter([pa.RecordBatch.from_pydict({"text": ["a b A", None]})])))
+    assert not common._HELD
+    assert dict(zip(got[0]["key"].to_pylist(), got[0]["n"].to_pylist())) == {b"a": 2, b"b": 1, b"\n": 2}
+
+
+def test_texts_side_by_side_are_few_and_score_alike(monkeypatch):
+    mixer = small_model(LM_TEXTS)
+    number = context_mixing._numbered(mixer.words, [context_mixing.tokens_of(t) for t in LM_TEXTS])
+    size = [int(mixer.words.size[t].sum()) for t in number]
+    whole = mixer.scores(number)
+    monkeypatch.setattr(context_mixing, "SIDE", 300)
+    runs = list(mixer.windows(number))
+    assert [t.tolist() for run in runs for t in run] == [t.tolist() for t in number]  # no text is cut
+    assert all(len(run) == 1 or sum(int(mixer.words.size[t].sum()) for t in run) <= 300 for run in runs) and max(size) > 300
+    assert mixer.scores(number).tolist() == pytest.approx(whole.tolist(), rel=1e-6)
+
+
 def test_weights_learn_within_short_texts(monkeypatch):
     mixer = small_model(LM_TEXTS)
     number = context_mixing._numbered(mixer.words, [b"the mat".split() * 60])

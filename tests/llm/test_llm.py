@@ -814,6 +814,70 @@ def test_pairs_fit_the_table():
         assert needed <= slots // 2
 
 
+def test_every_pair_of_words_is_counted(monkeypatch):
+    """Rare pairs and spelt words too: states and gates of a text's decisions equal counts in dictionaries."""
+    cm, words = context_mixing, small_model(LM_TEXTS[:3]).words
+    train = [cm.pieces_of(cm.tokens_of(t)) for t in [*LM_TEXTS, "zebra né", "dog zebra né sat", "the cat zebra né sat"]]
+    monkeypatch.setattr(cm, "SIDE", 300)
+    pairs = cm.Pairs(words, 12)
+    pairs.add(train[:2])
+    pairs.add(train[2:])
+    n, want = 0, [Counter(), Counter()]
+
+    def decisions(names):
+        number, before = words.numbers(names), None
+        for name, k in zip(names, number.tolist()):
+            key = 0 if before is None else cm.xxh64_intdigest(before, 42) >> 32
+            often = np.log(np.float32(words.tree.count[words.tree.words.index(before)])) if before in words.tree.words else -np.inf
+            for at in range(int(words.start[k]), int(words.start[k] + words.size[k])):
+                slot = int(cm.pair_slots(np.array([key], np.uint32), words.hash[at : at + 1], 12)[0])
+                yield int(words.seen[at] + often < pairs.floor), slot, int(words.bit[at])
+            before = name
+
+    for names in train:
+        for rare, slot, bit in decisions(names):
+            want[rare][slot << 1 | bit] += 1
+            n += 1
+    assert int(pairs.counts.sum()) + int(pairs.others.sum()) == n
+    for got, counted in zip((pairs.counts, pairs.others), want):
+        assert {k: int(got[k]) for k in np.flatnonzero(got).tolist()} == dict(counted)
+    assert min(sum(w.values()) for w in want) > 50
+    q = cm.quantised(pairs.both.reshape(-1, 2)).astype(np.uint16)
+    mixer = cm.Mixer(words, q[:, 0] << 8 | q[:, 1], shared=True)
+    asked = train[-1]
+    inputs, gate, bit, _, _ = mixer.predictors([words.numbers(asked)])
+    for k, (rare, slot, b) in enumerate(decisions(asked)):
+        state = int(mixer.pairs[rare << 12 | slot])
+        assert (b, inputs[1][k]) == (bit[k], cm.LOGIT[state])
+        assert gate[k] // cm.CLASSES == cm.SEEN[state] + rare * cm.CLASSES
+
+
+def test_rare_pairs_tell(docs):
+    """A text of words that were read in this order scores better than without the others' table."""
+    texts = [r["text"] for r in docs.orderBy("doc_id").limit(30).collect()]
+    cm, mixer = context_mixing, small_model(texts)
+    pairs = cm.Pairs(mixer.words, 14)
+    pairs.add([cm.pieces_of(cm.tokens_of(t)) for t in texts])
+    q = cm.quantised(pairs.both.reshape(-1, 2)).astype(np.uint16)
+    states = q[:, 0] << 8 | q[:, 1]
+    number = cm._numbered(mixer.words, [cm.tokens_of(t) for t in texts])
+    with_, without = cm.Mixer(mixer.words, states, shared=True), cm.Mixer(mixer.words, states[: 1 << 14])
+    assert with_.scores(number).sum() > without.scores(number).sum()
+
+
+def test_counts_are_squeezed_and_widened():
+    for values in (np.array([], np.uint32), np.array([0, 1, 255, 256, 2**32 - 1], np.uint32), np.ones(1000, np.uint32)):
+        assert context_mixing._widen(context_mixing._squeeze(values)).tolist() == values.tolist()
+
+
+def test_batches_are_small_while_scores_are_made(docs, spark, monkeypatch):
+    name, seen, fit = "spark.sql.execution.arrow.maxRecordsPerBatch", [], context_mixing._fit_pairs
+    before = spark.conf.get(name)
+    monkeypatch.setattr(context_mixing, "_fit_pairs", lambda *a: seen.append(int(spark.conf.get(name))) or fit(*a))
+    assert context_mixing.lm_scores(docs.limit(20)).count() == 20
+    assert seen == [context_mixing.ROWS] and spark.conf.get(name) == before
+
+
 def plain_fill(children, budget):
     left, got = dict(children), {}
     while left:

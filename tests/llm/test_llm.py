@@ -3,6 +3,7 @@
 import hashlib
 import math
 import os
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -870,6 +871,60 @@ def test_counts_are_squeezed_and_widened():
         assert context_mixing._widen(context_mixing._squeeze(values)).tolist() == values.tolist()
 
 
+def test_tokens_of_texts_together():
+    """Distinct tokens and their places say what tokens_of says of each text; each token is asked for once, whole or in pieces."""
+    rng = np.random.default_rng(4)
+    parts = ["a", "B", "é", "İ", " ", "\t", "\n", "\x0b", "\f", "\r", "\x1c", "\x85", "\xa0", "\u2003", "Zz", "q" * 30, "中", "\0"]
+    cm, words = context_mixing, small_model(LM_TEXTS).words
+    for _ in range(200):
+        texts = [None, "", " ", *("".join(rng.choice(parts, rng.integers(0, 40))) for _ in range(5)), "the cat " * 9]
+        want = [cm.tokens_of(t) for t in texts]
+        t = cm.Tokens(pa.array(["not these", *texts]).slice(1))
+        assert [[t.names[c] for c in t.code[a : a + n]] for a, n in zip(t.first, t.count)] == [[*w, cm.END] for w in want]
+        assert len(set(t.names)) == len(t.names)
+        number, count, _ = t.numbers(words)
+        name = {k: n for n, k in words.number.items()}
+        assert [[name[k] for k in n.tolist()] for n in cm._by_text(number, count)] == [cm.pieces_of(w) for w in want]
+
+
+def test_newton_sums_are_plain_sums():
+    cm, rng = context_mixing, np.random.default_rng(6)
+    x = rng.normal(size=(3, 500)).astype(np.float32) * 3
+    gate, bit, times = rng.integers(0, 5, 500) * 3, rng.integers(0, 2, 500).astype(np.uint8), rng.integers(1, 9, 500).astype(float)
+    weights, want = rng.normal(size=(20, 3)).astype(np.float32), np.zeros((20, 12))
+    for k, g in enumerate(gate.tolist()):
+        v = x[:, k].astype(float)
+        p = 1 / (1 + math.exp(-max(-30.0, min(30.0, float(weights[g] @ v)))))
+        want[g] += times[k] * np.concatenate([(bit[k] - p) * v, (max(p * (1 - p), 1e-6) * np.outer(v, v)).ravel()])
+    for some in (cm.SORTED, 7):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(cm, "SORTED", some)
+            assert np.allclose(cm.newton_sums(list(x), gate, bit, weights, times), want, rtol=1e-4, atol=1e-3)
+
+
+def test_work_follows_what_is_read(monkeypatch):
+    """A long text beside short ones goes on alone: no sums over cells of texts that have ended."""
+    mixer, cells, bincount = small_model(LM_TEXTS), [], np.bincount
+    texts = [b"the mat".split()] * 200 + [b"the cat sat on the mat".split() * 400]
+    number = context_mixing._numbered(mixer.words, texts)
+    alone = [mixer.scores([n])[0] for n in (number[0], number[-1])]
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0: cells.append(minlength) or bincount(x, weights=weights, minlength=minlength))
+    got, _ = mixer.run(number)
+    assert got.tolist() == pytest.approx([alone[0]] * 200 + [alone[1]], rel=1e-6)
+    assert sorted(cells)[len(cells) // 2] == mixer.gates and max(cells) == mixer.gates * len(texts)
+
+
+def test_a_broadcast_table_is_read_into_memory_of_its_own():
+    values = np.arange(1000, dtype=np.uint16)
+    for protocol in (4, 5, pickle.HIGHEST_PROTOCOL):
+        got = pickle.loads(pickle.dumps(context_mixing.Table(values), protocol)).values
+        assert got.flags.owndata and got.dtype == values.dtype and got.tolist() == values.tolist()
+    spelling = small_model(LM_TEXTS).words.spelling
+    again = pickle.loads(pickle.dumps(spelling, 5))
+    assert all(s.flags.owndata and (s == t).all() for s, t in zip(again.states, spelling.states)) and (again.weights == spelling.weights).all()
+    assert pickle.loads(pickle.dumps(context_mixing.Spelling(spelling.trees), 5)).states is None
+
+
 def test_batches_are_small_while_scores_are_made(docs, spark, monkeypatch):
     name, seen, fit = "spark.sql.execution.arrow.maxRecordsPerBatch", [], context_mixing._fit_pairs
     before = spark.conf.get(name)
@@ -1016,6 +1071,7 @@ def test_replaced_models_leave_no_memory_behind():
 
     code = """
 import os
+import pickle
 from stemline.llm.common import held
 mb = lambda: int(open("/proc/self/statm").read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
 before = mb()
